@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import lookalike, truncation
+from docloom.llm import lookalike, residue, splitting, truncation
 from docloom.llm.common import table
 
 
@@ -49,6 +49,30 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(p2_scores(spark, sf_dir), "source_name")
 
 
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk as pieces of at most 220 tokens with an overlap of 30."""
+    rows = table(spark, sf_dir, "chunks").select("translation_id", "chunk_index", "content").distinct()
+    return splitting.split_items(rows, ["translation_id", "chunk_index"], "content")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("n_pieces > 1").select("translation_id", "chunk_index").distinct()
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents").select("doc_id", "text").distinct(), "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = residue.find_residue(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return rows.where("residue_kind is not null").select("doc_id").distinct()
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without these records."""
+    return residue.find_residue(table(spark, sf_dir, "documents"), "text").where("residue_kind is null").drop("residue_kind").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -56,8 +80,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_scores": p2_scores,
         "p2_rates": p2_rates,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
+        "p9_found": p9_found,
+        "p9_kinds": p9_kinds,
+        "p9_clean": p9_clean,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # tokens: runs of characters that are not white space in Unicode
+        "p3_found": r"""
+            SELECT DISTINCT translation_id, chunk_index FROM chunks
+            WHERE len(regexp_extract_all(content, '[^\s\x0b\x1c-\x1f\x85\p{Z}]+')) > 220
+        """,
+    }
