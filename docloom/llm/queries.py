@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import lookalike, residue, splitting, truncation
+from docloom.llm import contamination, lookalike, packing, residue, splitting, truncation
 from docloom.llm.common import table
 
 
@@ -59,6 +59,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("n_pieces > 1").select("translation_id", "chunk_index").distinct()
 
 
+def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2,048 tokens of every document."""
+    return packing.pack_items(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_rates(p7_bins(spark, sf_dir))
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest match of every document and the items leaked into it."""
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_matches(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without the documents that hold passages of items."""
+    return contamination.remove_leaks(table(spark, sf_dir, "documents"), "doc_id", p8_matches(spark, sf_dir)).distinct()
+
+
 def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents").select("doc_id", "text").distinct(), "text")
 
@@ -82,6 +105,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_rates": p2_rates,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p7_bins": p7_bins,
+        "p7_fill": p7_fill,
+        "p8_found": p8_found,
+        "p8_matches": p8_matches,
+        "p8_clean": p8_clean,
         "p9_found": p9_found,
         "p9_kinds": p9_kinds,
         "p9_clean": p9_clean,
