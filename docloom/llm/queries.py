@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, lookalike, packing, residue, splitting, truncation
-from docloom.llm.common import table
+from docloom.llm import contamination, lookalike, packing, residue, scan_noise, splitting, truncation
+from docloom.llm.common import cut_lineage, spread, table
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("n_pieces > 1").select("translation_id", "chunk_index").distinct()
 
 
+def p4_noise(spark: SparkSession, sf_dir: str) -> scan_noise.PageNoise:
+    papers = table(spark, sf_dir, "parsed_papers").select(F.col("paper_doc_id").alias("doc"), F.col("raw_text").alias("raw"))
+    sections = table(spark, sf_dir, "parsed_sections").select(
+        F.col("paper_doc_id").alias("doc"), F.col("section_ord").alias("part"), F.col("content").alias("raw")
+    )
+    return scan_noise.PageNoise(papers, sections, cut_lineage)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p4_noise(spark, sf_dir).all_findings()
+    return rows.select(F.col("doc").alias("paper_doc_id"), F.col("part").alias("section_ord"), "line_no", "noise_kind").distinct()
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers (section_ord -1) and sections as continuous paragraphs."""
+    rows = p4_noise(spark, sf_dir).repaired()
+    return rows.select(F.col("doc").alias("paper_doc_id"), F.col("part").alias("section_ord"), "text")
+
+
 def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2,048 tokens of every document."""
     return packing.pack_items(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -105,6 +124,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_rates": p2_rates,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p4_found": p4_found,
+        "p4_repaired": p4_repaired,
         "p7_bins": p7_bins,
         "p7_fill": p7_fill,
         "p8_found": p8_found,
