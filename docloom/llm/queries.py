@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, lookalike, packing, residue, scan_noise, splitting, truncation
+from docloom.llm import contamination, entity_match, lookalike, packing, residue, scan_noise, splitting, truncation
 from docloom.llm.common import cut_lineage, spread, table
 
 
@@ -78,6 +78,20 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc").alias("paper_doc_id"), F.col("part").alias("section_ord"), "text")
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of both paper tables that describe the same work, with a confidence."""
+    arxiv = table(spark, sf_dir, "arxiv_papers").select(
+        F.col("arxiv_id").alias("id"), F.regexp_replace("arxiv_id", r"v\d+$", "").alias("work"), "title", "authors", F.year("published").alias("year")
+    )
+    scholar = table(spark, sf_dir, "semantic_scholar_papers").select(F.col("paper_id").alias("id"), "title", "authors", "year", F.col("arxiv_id").alias("ref"))
+    found = entity_match.match_records(arxiv, scholar, keep=cut_lineage)
+    return found.select(F.col("left_id").alias("arxiv_id"), F.col("right_id").alias("paper_id"), "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_matches(spark, sf_dir).select("arxiv_id", "paper_id").distinct()
+
+
 def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2,048 tokens of every document."""
     return packing.pack_items(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -126,6 +140,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_repaired": p4_repaired,
+        "p5_found": p5_found,
+        "p5_matches": p5_matches,
         "p7_bins": p7_bins,
         "p7_fill": p7_fill,
         "p8_found": p8_found,
