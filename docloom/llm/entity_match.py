@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13  # of tokens, for each attribute
 DIM = 48
+LIKE_TITLE, LIKE_AUTHORS, LIKE_BOTH = 0.9, 0.5, 0.5
+"""Least cosines of a candidate: of the titles alone, or of the authors and of the titles with them."""
 FOLLOW_UP = re.compile(r"\b(?:revisited|reloaded|reconsidered|continued|part (?:[ivx]+|[1-9]|one|two|three)|(?:a )?(?:second|third|closer|further|new) look(?: at \S+)?|[ivx]{2,4}|follow up|addendum|erratum)\b")
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "tau": "τ", "phi": "φ", "psi": "ψ", "omega": "ω"}
 
@@ -230,12 +232,16 @@ def train_vectors(records: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     parts = min(8, records.sparkSession.sparkContext.defaultParallelism)
     model = Word2Vec(vectorSize=DIM, windowSize=3, minCount=0, maxIter=1, numPartitions=parts, stepSize=0.05, seed=5, inputCol="walk", outputCol="v").fit(random_walks(records))
-    vectors = np.random.default_rng(5).normal(size=(2 * BUCKETS, DIM)).astype(np.float32)
+    # an own direction of each token keeps tokens apart that walks always meet together
+    own = np.random.default_rng(5).normal(size=(2 * BUCKETS, DIM)).astype(np.float32)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    vectors = own.copy()
     for word, vector in model.getVectors().collect():
         vectors[int(word)] = vector.toArray()
     vectors[:BUCKETS] -= vectors[:BUCKETS].mean(axis=0)
     vectors[BUCKETS:] -= vectors[BUCKETS:].mean(axis=0)
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
+    vectors = (0.5 * vectors + own).astype(np.float32)
     seen = records.select(F.explode(F.array_distinct(F.concat("t", "a"))).alias("k")).groupBy("k").count().collect()
     weights = np.ones(2 * BUCKETS, dtype=np.float32)
     total = records.count()
@@ -287,7 +293,7 @@ def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return pd.DataFrame(columns=["ra", "rb", "cos_title", "cos_authors"])
         read = lambda side, k: np.frombuffer(b"".join(r[k] for r in side), dtype=np.int8).reshape(-1, DIM).astype(np.float32) / 127
         ct, ca = read(a, 2) @ read(b, 2).T, read(a, 3) @ read(b, 3).T
-        i, j = np.nonzero((ct >= 0.9) | ((ca >= 0.55) & (ct >= 0.45)))
+        i, j = np.nonzero((ct >= LIKE_TITLE) | ((ca >= LIKE_AUTHORS) & (ct >= LIKE_BOTH)))
         return pd.DataFrame({"ra": [a[x][1] for x in i], "rb": [b[x][1] for x in j], "cos_title": ct[i, j].astype(float), "cos_authors": ca[i, j].astype(float)})
 
     now, rows = None, []
@@ -358,7 +364,7 @@ def match_records(left: DataFrame, right: DataFrame, tables: tuple[int, int] = (
     if not n:
         return spark.createDataFrame([], "left_id string, right_id string, confidence double")
     vectors, weights = train_vectors(records)
-    bits = int(np.clip(round(np.log2(max(1, n / 150))), 4, 30))
+    bits = int(np.clip(round(np.log2(max(1, n / 60))), 4, 30))
     pairs = candidate_pairs(block_keys(records, vectors, weights, tables, bits))
     side = lambda name: records.select(F.col("rid").alias(name), F.struct("title", "authors", "year", "ref").alias(f"{name}_record"))
     both = pairs.join(side("ra"), "ra").join(side("rb"), "rb")

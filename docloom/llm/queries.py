@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, entity_match, lookalike, packing, residue, scan_noise, splitting, truncation
+from docloom.llm import contamination, entity_match, lookalike, packing, residue, scan_noise, sentence_align, splitting, truncation
 from docloom.llm.common import cut_lineage, spread, table
 
 
@@ -92,6 +92,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_matches(spark, sf_dir).select("arxiv_id", "paper_id").distinct()
 
 
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of each chunk and its translation that translate each other, with a score."""
+    chunks = table(spark, sf_dir, "chunks").select("translation_id", "chunk_index", "content").distinct()
+    translated = table(spark, sf_dir, "translated_chunks").where("translated_text <> ''").select("translation_id", "chunk_index", "translated_text").distinct()
+    both = spread(chunks.join(translated, ["translation_id", "chunk_index"]), "translation_id", "chunk_index")
+    return sentence_align.align_sentences(both, ["translation_id", "chunk_index"], "content", "translated_text", keep=cut_lineage)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_links(spark, sf_dir).select("translation_id", "chunk_index", "source_no", "target_no").distinct()
+
+
 def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2,048 tokens of every document."""
     return packing.pack_items(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -142,6 +154,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_repaired": p4_repaired,
         "p5_found": p5_found,
         "p5_matches": p5_matches,
+        "p6_found": p6_found,
+        "p6_links": p6_links,
         "p7_bins": p7_bins,
         "p7_fill": p7_fill,
         "p8_found": p8_found,
