@@ -287,29 +287,27 @@ def block_keys(records: DataFrame, vectors: np.ndarray, weights: np.ndarray, tab
 def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of each block with enough cosine; rows come sorted by block, and one block is held at a time."""
 
-    def pairs(rows: list[tuple]) -> pd.DataFrame:
+    names = ["ra", "rb", "cos_title", "cos_authors"]
+
+    def pairs(rows: list[tuple]) -> list[tuple]:
         a, b = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
         if not a or not b:
-            return pd.DataFrame(columns=["ra", "rb", "cos_title", "cos_authors"])
+            return []
         read = lambda side, k: np.frombuffer(b"".join(r[k] for r in side), dtype=np.int8).reshape(-1, DIM).astype(np.float32) / 127
         ct, ca = read(a, 2) @ read(b, 2).T, read(a, 3) @ read(b, 3).T
         i, j = np.nonzero((ct >= LIKE_TITLE) | ((ca >= LIKE_AUTHORS) & (ct >= LIKE_BOTH)))
-        return pd.DataFrame({"ra": [a[x][1] for x in i], "rb": [b[x][1] for x in j], "cos_title": ct[i, j].astype(float), "cos_authors": ca[i, j].astype(float)})
+        return [(a[x][1], b[y][1], t, u) for x, y, t, u in zip(i, j, ct[i, j].tolist(), ca[i, j].tolist())]
 
     now, rows = None, []
     for pdf in batches:
         found = []
         for key, block, side, rid, vt, va in zip(pdf["key"], pdf["block"], pdf["side"], pdf["rid"], pdf["vt"], pdf["va"]):
             if (key, block) != now:
-                if rows:
-                    found.append(pairs(rows))
+                found += pairs(rows) if rows else []
                 now, rows = (key, block), []
             rows.append((side, rid, vt, va))
-        found = [f for f in found if len(f)]
-        if found:
-            yield pd.concat(found)
-    if rows:
-        yield pairs(rows)
+        yield pd.DataFrame(found, columns=names)
+    yield pd.DataFrame(pairs(rows) if rows else [], columns=names)
 
 
 def candidate_pairs(keyed: DataFrame, block_rows: int = 2000) -> DataFrame:
