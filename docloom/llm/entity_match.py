@@ -310,12 +310,17 @@ def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(pairs(rows) if rows else [], columns=names)
 
 
-def candidate_pairs(keyed: DataFrame, block_rows: int = 2000) -> DataFrame:
+def candidate_pairs(keyed: DataFrame, keep, block_rows: int = 2000) -> DataFrame:
     """(ra, rb, cos_title, cos_authors) of the pairs that share a bucket and have enough cosine."""
     kind = keyed.schema["rid"].dataType.simpleString()
-    rows = keyed.select("rid", "side", "vt", "va", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb")).where("na > 0 and nb > 0")
-    rows = rows.join(sizes, "key").withColumns({"ga": F.ceil(F.col("na") / block_rows).cast("int"), "gb": F.ceil(F.col("nb") / block_rows).cast("int")})
+    sizes = keyed.select("side", F.explode("keys").alias("key")).groupBy("key").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+    hot = sizes.where((F.col("na") > block_rows) | (F.col("nb") > block_rows)).select(
+        "key", F.ceil(F.col("na") / block_rows).cast("int").alias("ga"), F.ceil(F.col("nb") / block_rows).cast("int").alias("gb")
+    ).where("ga > 0 and gb > 0")
+    # at most one bucket in ``block_rows`` rows is hot; they are counted before they are sent to all tasks
+    hot = keep(hot)
+    hot = F.broadcast(hot) if hot.count() <= 50_000 else hot
+    rows = keyed.select("rid", "side", "vt", "va", F.explode("keys").alias("key")).join(hot, "key", "left").fillna(1, ["ga", "gb"])
     own = F.pmod(F.xxhash64("rid", F.lit(23)), F.when(F.col("side") == 0, F.col("ga")).otherwise(F.col("gb"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("gb")).otherwise(F.col("ga")) - 1)
     rows = rows.withColumn("own", own).select("key", "side", "rid", "vt", "va", "gb", "own", F.explode(others).alias("other"))
@@ -355,45 +360,48 @@ def match_records(left: DataFrame, right: DataFrame, tables: tuple[int, int] = (
     identifier that may name the left work, wrong in places).
     """
     spark = left.sparkSession
-    a = left.where("id is not null and title is not null").select(F.concat(F.lit("a"), "id").alias("rid"), F.lit(0).alias("side"), "title", "authors", "year", F.col("work").alias("ref"), "id")
-    b = right.where("id is not null and title is not null").select(F.concat(F.lit("b"), "id").alias("rid"), F.lit(1).alias("side"), "title", "authors", "year", "ref", "id")
-    records = keep(tokenized(a.unionByName(b).dropDuplicates(["rid"])))
+    a = left.where("id is not null and title is not null").select("id", F.lit(0).alias("side"), "title", "authors", "year", F.coalesce("work", "id").alias("ref"))
+    b = right.where("id is not null and title is not null").select("id", F.lit(1).alias("side"), "title", "authors", "year", "ref")
+    # short numbers stand for the keys; they are written down before they are used
+    records = a.unionByName(b).dropDuplicates(["side", "id"]).withColumn("rid", F.monotonically_increasing_id())
+    records = keep(tokenized(records))
     n = records.count()
     if not n:
         return spark.createDataFrame([], "left_id string, right_id string, confidence double")
     vectors, weights = train_vectors(records)
     bits = int(np.clip(round(np.log2(max(1, n / 60))), 4, 30))
-    pairs = candidate_pairs(block_keys(records, vectors, weights, tables, bits))
+    pairs = candidate_pairs(keep(block_keys(records, vectors, weights, tables, bits)), keep)
     side = lambda name: records.select(F.col("rid").alias(name), F.struct("title", "authors", "year", "ref").alias(f"{name}_record"))
     both = pairs.join(side("ra"), "ra").join(side("rb"), "rb")
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
 
-        def form(key: str, r: dict) -> tuple:
+        def form(key: int, r: dict) -> tuple:
             if key not in cache:
                 if len(cache) > 100_000:
                     cache.clear()
                 names = [] if r["authors"] is None else [name_form(x) for x in r["authors"] if x]
                 year = None if r["year"] is None or r["year"] != r["year"] else int(r["year"])
-                cache[key] = (title_form(r["title"]), names, year, base_id(r["ref"]))
+                cache[key] = (title_form(r["title"]), names, year, base_id(r["ref"]))
             return cache[key]
 
         for pdf in batches:
             out = []
             for ra, rb, ct, ca, x, y in zip(pdf["ra"], pdf["rb"], pdf["cos_title"], pdf["cos_authors"], pdf["ra_record"], pdf["rb_record"]):
                 left_form = form(ra, x)
-                out.append((ra, rb, left_form[3] or ra, 0.5 * ct + 0.5 * ca if y["authors"] is not None and len(y["authors"]) else ct, *compare(left_form, form(rb, y))))
+                out.append((ra, rb, x["ref"], 0.5 * ct + 0.5 * ca if y["authors"] is not None and len(y["authors"]) else ct, *compare(left_form, form(rb, y))))
             yield pd.DataFrame(out, columns=["ra", "rb", "work", "cosine", "relation", "agree", "apart", "same_id", "ok"])
 
-    judged = keep(both.mapInPandas(rerank, "ra string, rb string, work string, cosine double, relation int, agree double, apart int, same_id int, ok boolean"))
+    judged = keep(both.mapInPandas(rerank, "ra long, rb long, work string, cosine double, relation int, agree double, apart int, same_id int, ok boolean"))
     slope, offset = calibrate(judged.orderBy(F.xxhash64("ra", "rb")).limit(sample_pairs).select("cosine", "ok").toPandas())
     # of the works that fit a record of the right side only the best stays
     rank = F.struct("relation", "agree", "same_id", (-F.when(F.col("apart") < 0, 1).otherwise(F.col("apart"))).alias("near"), "cosine", "work")
     best = judged.where("ok").groupBy("rb").agg(F.max_by(F.struct("work", "cosine"), rank).alias("m")).select("rb", "m.work", "m.cosine")
-    versions = records.where("side = 0").select(F.col("id").alias("left_id"), F.coalesce(F.regexp_extract("ref", r"(\d{4}\.\d{4,5})", 1), "rid").alias("work"))
+    versions = records.where("side = 0").select(F.col("id").alias("left_id"), F.col("ref").alias("work"))
+    names = records.where("side = 1").select(F.col("id").alias("right_id"), F.col("rid").alias("rb"))
     confidence = F.round(1 / (1 + F.exp(-(F.col("cosine") * slope + offset))), 6)
-    return best.join(versions, "work").select("left_id", F.expr("substring(rb, 2)").alias("right_id"), confidence.alias("confidence"))
+    return best.join(names, "rb").join(versions, "work").select("left_id", "right_id", confidence.alias("confidence"))
 
 
 def calibrate(sample: pd.DataFrame) -> tuple[float, float]:
