@@ -1,0 +1 @@
+"""Document and terminology dataflows on Spark DataFrames."""
