@@ -82,6 +82,8 @@ WORDS_CHROME = (
     r"^(?:back|return|go) to |^copyright|^©|all rights reserved|^contact (?:support|us|the)|^(?:ref|incident|request|trace|error|ticket|session)\b.{0,12}[\s:#.]*[0-9a-f-]{4,}\W*$|^(?:ref|no)\.?$|^(?:ref\. )?no\. ?[0-9a-f]*$|^[0-9a-f-]{6,40}$|^(?:incident|request id:?|ref\.?(?: no\.?)?)\W*[0-9a-f]*$|"
     r"^문의|^홈 ?>|^(?:홈|목록|상세|도움말|로그인|언어|번역 목록)(?:[\s|>/·]+\S+)*$|^뒤로|^돌아가기|^저작권|^\W*$"
 )
+# A sentence that tells of notices or filler instead of being one.
+PROSE = re.compile(r"\b(?:so we|that say|such as|negatives|crawl\w*|parser|figures?|in section|only (?:to|for)|the model|of the runs|masked|in the style of)\b|\bwe (?:classif|add|use|drop|find|found|observ|report|count|saw|remov|filter|label|treat)", re.I)
 UNIT = re.compile(r"(?<=[.!?。])\s+|\n+|\s+[-–|·>]\s+|</?(?:html|head|title|body|p|h[1-6]|div|br|li|ul|center|hr)\b[^>]*>", re.I)
 NOTICE, FILLER, CHROME = (re.compile(p, re.I) for p in (WORDS_NOTICE, WORDS_FILLER, WORDS_CHROME))
 # Parts of words of which a notice or filler has at least one, in lower case: texts with none need no closer look.
@@ -136,9 +138,10 @@ def unit_kinds(text: str, triggers: list[str], most_other: float = 1.0) -> dict[
             continue
         low = unit.lower()
         hot = any(t in low for t in triggers)
-        if hot and FILLER.search(unit):
+        told = hot and (PROSE.search(unit) or ('"' in unit[1:-1] and unit.count(" ") > 12))
+        if hot and not told and FILLER.search(unit):
             kind = "filler"
-        elif hot and len(unit) < 160 and NOTICE.search(unit):
+        elif hot and not told and len(unit) < 160 and NOTICE.search(unit):
             kind = "notice"
         elif len(unit) < 160 and CHROME.search(unit):
             kind = "chrome"
