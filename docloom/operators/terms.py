@@ -31,7 +31,7 @@ def match_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame,
         pairs = rows.where("length(_text) >= 3").withColumn("_gram", F.explode(grams)).join(head, "_gram").where(holds).drop("_gram")
         both = pairs.unionByName(rows.join(F.broadcast(t.where("length(_low) < 3")), holds))
     if word_boundary:
-        both = both.where(F.col("_text").rlike(F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("_low"), F.lit(r"\E(?!\w)"))))
+        both = both.where(F.rlike("_text", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("_low"), F.lit(r"\E(?!\w)"))))
     return both.withColumn("match_count", T.occurrences(F.col("_text"), F.col("_low"))).drop("_text", "_low")
 
 
