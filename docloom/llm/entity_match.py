@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13  # of tokens, for each attribute
 DIM = 48
-LIKE_TITLE, LIKE_AUTHORS, LIKE_BOTH = 0.9, 0.5, 0.5
+LIKE_TITLE, LIKE_AUTHORS, LIKE_BOTH = 0.85, 0.4, 0.4
 """Least cosines of a candidate: of the titles alone, or of the authors and of the titles with them."""
+SHARED = 4  # strongest directions that are taken out of the vectors
 FOLLOW_UP = re.compile(r"\b(?:revisited|reloaded|reconsidered|continued|part (?:[ivx]+|[1-9]|one|two|three)|(?:a )?(?:second|third|closer|further|new) look(?: at \S+)?|[ivx]{2,4}|follow up|addendum|erratum)\b")
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "tau": "τ", "phi": "φ", "psi": "ψ", "omega": "ω"}
 
@@ -238,15 +239,20 @@ def train_vectors(records: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     vectors = own.copy()
     for word, vector in model.getVectors().collect():
         vectors[int(word)] = vector.toArray()
-    vectors[:BUCKETS] -= vectors[:BUCKETS].mean(axis=0)
-    vectors[BUCKETS:] -= vectors[BUCKETS:].mean(axis=0)
-    vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    vectors = (0.5 * vectors + own).astype(np.float32)
     seen = records.select(F.explode(F.array_distinct(F.concat("t", "a"))).alias("k")).groupBy("k").count().collect()
-    weights = np.ones(2 * BUCKETS, dtype=np.float32)
     total = records.count()
+    often, weights = np.zeros(2 * BUCKETS), np.ones(2 * BUCKETS, dtype=np.float32)
     for k, n in seen:
-        weights[k] = np.log(1 + total / n)
+        often[k], weights[k] = n, np.log(1 + total / n)
+    for part in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
+        v = vectors[part] / np.maximum(1e-9, np.linalg.norm(vectors[part], axis=1, keepdims=True))
+        v = 0.5 * v + own[part]
+        # what all records share would add up in their sums: the mean and the strongest directions are taken out
+        w = (often[part] * weights[part])[:, None]
+        v = v - (w * v).sum(axis=0) / max(1e-9, w.sum())
+        _, axes = np.linalg.eigh((w * weights[part][:, None] * v).T @ v)
+        strong = axes[:, -SHARED:]
+        vectors[part] = v - (v @ strong) @ strong.T
     return vectors, weights
 
 
