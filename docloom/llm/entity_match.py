@@ -5,9 +5,10 @@ number of buckets, so that the vocabulary has a proven bound. Random walks go fr
 over a shared token to another record and on through its tokens. Skip-gram vectors of the tokens are trained on all walks.
 An attribute's vector is the sum of its tokens' vectors, weighted by rarity and centred.
 
-Blocking: several tables of random hyperplanes over the title's and over the authors' vectors. Within a bucket the
+Blocking: several tables of random hyperplanes over the title's and over the authors' vectors. Longer hashes, as larger
+inputs need them, get so many more tables that a pair shares a bucket as often (``table_counts``). Within a bucket the
 cosines of both attributes are computed in blocks; buckets of any size are cut into a grid of blocks, so none is dropped and none
-grows with its bucket. The pairs that are left are compared exactly: titles with one slip, cut ends or a part left out,
+grows with its bucket. Records with the same normalised title or the same base identifier always meet, whatever their cosines. The pairs that are left are compared exactly: titles with one slip, cut ends or a part left out,
 names in any order, initials and slips; words that mark a follow-up part works. Of several works the best stays. The
 confidence is the cosine, calibrated by a logistic fit on a bounded sample of the compared pairs (``sample_pairs``).
 
@@ -32,6 +33,8 @@ BUCKETS = 1 << 13  # of tokens, for each attribute
 DIM = 48
 LIKE_TITLE, LIKE_AUTHORS, LIKE_BOTH = 0.85, 0.4, 0.4
 """Least cosines of a candidate: of the titles alone, or of the authors and of the titles with them."""
+BUCKET_ROWS, BITS = 720, 8  # rows meant for a bucket; the hash length up to which the given numbers of tables are enough
+EXACT = 1 << 60  # keys from here on are of equal titles and identifiers
 SHARED = 4  # strongest directions that are taken out of the vectors
 FOLLOW_UP = re.compile(r"\b(?:revisited|reloaded|reconsidered|continued|part (?:[ivx]+|[1-9]|one|two|three)|(?:a )?(?:second|third|closer|further|new) look(?: at \S+)?|[ivx]{2,4}|follow up|addendum|erratum)\b")
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "tau": "τ", "phi": "φ", "psi": "ψ", "omega": "ω"}
@@ -203,15 +206,21 @@ def tokens(title: str | None, names: list) -> tuple[list[int], list[int]]:
     return sorted(t), people
 
 
+def exact_keys(title: str | None, ref: str | None) -> list[int]:
+    """Bucket of the normalised title and bucket of the base identifier."""
+    letters, own_id = title_form(title)[1] if title else "", base_id(ref)
+    return [EXACT * k + zlib.crc32(x.encode()) for k, x in ((1, letters), (2, own_id)) if x]
+
+
 def tokenized(df: DataFrame) -> DataFrame:
-    """``df`` (rid, title, authors) with the columns t and a, its tokens."""
+    """``df`` (rid, title, authors, ref) with the columns t and a, its tokens, and exact, its keys."""
 
-    @F.pandas_udf("struct<t:array<int>,a:array<int>>")
-    def of(titles: pd.Series, authors: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<t:array<int>,a:array<int>,exact:array<long>>")
+    def of(titles: pd.Series, authors: pd.Series, refs: pd.Series) -> pd.DataFrame:
         made = [tokens(t, [] if a is None else [x for x in a if x]) for t, a in zip(titles, authors)]
-        return pd.DataFrame({"t": [m[0] for m in made], "a": [m[1] for m in made]})
+        return pd.DataFrame({"t": [m[0] for m in made], "a": [m[1] for m in made], "exact": [exact_keys(t, r) for t, r in zip(titles, refs)]})
 
-    return df.withColumn("_k", of("title", "authors")).select("*", "_k.t", "_k.a").drop("_k")
+    return df.withColumn("_k", of("title", "authors", "ref")).select("*", "_k.t", "_k.a", "_k.exact").drop("_k")
 
 
 def random_walks(records: DataFrame, length: int = 10) -> DataFrame:
@@ -265,8 +274,18 @@ def attribute_vectors(texts: pd.Series, vectors: np.ndarray, weights: np.ndarray
     return out
 
 
+def table_counts(tables: tuple[int, int], bits: int) -> tuple[int, int]:
+    """So many tables that pairs of the least cosines share a bucket of ``bits`` as often as one of BITS in ``tables``.
+
+    Pairs that are more alike lose less by longer hashes, so they meet at least as often too.
+    """
+    meet = lambda cosine: 1 - np.arccos(cosine) / np.pi
+    more = [np.log1p(-(p**BITS)) / np.log1p(-(p**bits)) for p in (meet(LIKE_BOTH), meet(LIKE_AUTHORS))]
+    return tuple(int(np.ceil(n * max(1.0, x))) for n, x in zip(tables, more))
+
+
 def block_keys(records: DataFrame, vectors: np.ndarray, weights: np.ndarray, tables: tuple[int, int], bits: int) -> DataFrame:
-    """(rid, side, vt, va, keys): quantized unit vectors and the bucket of each table."""
+    """(rid, side, vt, va, keys): quantized unit vectors, the bucket of each table and the exact keys."""
     sc = records.sparkSession.sparkContext
     planes = np.random.default_rng(17).normal(size=(sum(tables), bits, DIM)).astype(np.float32)
     shared = sc.broadcast((vectors, weights, planes))
@@ -284,24 +303,24 @@ def block_keys(records: DataFrame, vectors: np.ndarray, weights: np.ndarray, tab
                 keys.append(code)
             unit = lambda x: np.round(127 * x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.int8)
             yield pd.DataFrame(
-                {"rid": pdf["rid"], "side": pdf["side"], "vt": [x.tobytes() for x in unit(vt)], "va": [x.tobytes() for x in unit(va)], "keys": [[y for y in x if y >= 0] for x in np.array(keys).T.tolist()]}
+                {"rid": pdf["rid"], "side": pdf["side"], "vt": [x.tobytes() for x in unit(vt)], "va": [x.tobytes() for x in unit(va)], "keys": [[*(y for y in x if y >= 0), *e] for x, e in zip(np.array(keys).T.tolist(), pdf["exact"])]}
             )
 
-    return records.select("rid", "side", "t", "a").mapInPandas(make, f"rid {kind}, side int, vt binary, va binary, keys array<long>")
+    return records.select("rid", "side", "t", "a", "exact").mapInPandas(make, f"rid {kind}, side int, vt binary, va binary, keys array<long>")
 
 
 def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of each block with enough cosine; rows come sorted by block, and one block is held at a time."""
+    """Pairs of each block with enough cosine, all pairs of exact keys; rows come sorted by block, and one block is held at a time."""
 
     names = ["ra", "rb", "cos_title", "cos_authors"]
 
-    def pairs(rows: list[tuple]) -> list[tuple]:
+    def pairs(rows: list[tuple], exact: bool) -> list[tuple]:
         a, b = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
         if not a or not b:
             return []
         read = lambda side, k: np.frombuffer(b"".join(r[k] for r in side), dtype=np.int8).reshape(-1, DIM).astype(np.float32) / 127
         ct, ca = read(a, 2) @ read(b, 2).T, read(a, 3) @ read(b, 3).T
-        i, j = np.nonzero((ct >= LIKE_TITLE) | ((ca >= LIKE_AUTHORS) & (ct >= LIKE_BOTH)))
+        i, j = np.nonzero(exact | (ct >= LIKE_TITLE) | ((ca >= LIKE_AUTHORS) & (ct >= LIKE_BOTH)))
         return [(a[x][1], b[y][1], t, u) for x, y, t, u in zip(i, j, ct[i, j].tolist(), ca[i, j].tolist())]
 
     now, rows = None, []
@@ -309,15 +328,15 @@ def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for key, block, side, rid, vt, va in zip(pdf["key"], pdf["block"], pdf["side"], pdf["rid"], pdf["vt"], pdf["va"]):
             if (key, block) != now:
-                found += pairs(rows) if rows else []
+                found += pairs(rows, now[0] >= EXACT) if rows else []
                 now, rows = (key, block), []
             rows.append((side, rid, vt, va))
         yield pd.DataFrame(found, columns=names)
-    yield pd.DataFrame(pairs(rows) if rows else [], columns=names)
+    yield pd.DataFrame(pairs(rows, now[0] >= EXACT) if rows else [], columns=names)
 
 
 def candidate_pairs(keyed: DataFrame, keep, block_rows: int = 2000) -> DataFrame:
-    """(ra, rb, cos_title, cos_authors) of the pairs that share a bucket and have enough cosine."""
+    """(ra, rb, cos_title, cos_authors) of the pairs that share a bucket and have enough cosine, or share an exact key."""
     kind = keyed.schema["rid"].dataType.simpleString()
     sizes = keyed.select("side", F.explode("keys").alias("key")).groupBy("key").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
     hot = sizes.where((F.col("na") > block_rows) | (F.col("nb") > block_rows)).select(
@@ -375,8 +394,8 @@ def match_records(left: DataFrame, right: DataFrame, tables: tuple[int, int] = (
     if not n:
         return spark.createDataFrame([], "left_id string, right_id string, confidence double")
     vectors, weights = train_vectors(records)
-    bits = int(np.clip(round(np.log2(max(1, n / 60))), 4, 30))
-    pairs = candidate_pairs(keep(block_keys(records, vectors, weights, tables, bits)), keep)
+    bits = int(np.clip(round(np.log2(max(1, n / BUCKET_ROWS))), 4, 30))
+    pairs = candidate_pairs(keep(block_keys(records, vectors, weights, table_counts(tables, bits), bits)), keep)
     side = lambda name: records.select(F.col("rid").alias(name), F.struct("title", "authors", "year", "ref").alias(f"{name}_record"))
     both = pairs.join(side("ra"), "ra").join(side("rb"), "rb")
 

@@ -179,6 +179,22 @@ def test_match_records(spark):
     assert X.match_records(a.limit(0), b.limit(0), keep=keep).count() == 0
 
 
+def test_recall_does_not_fall_with_size():
+    for cosine in (X.LIKE_BOTH, 0.7, X.LIKE_TITLE):
+        p = 1 - np.arccos(cosine) / np.pi
+        found = lambda bits: [1 - (1 - p**bits) ** n for n in X.table_counts((12, 8), bits)]
+        assert all(x >= y - 1e-9 for bits in range(4, 24) for x, y in zip(found(bits), found(X.BITS)))
+    assert X.table_counts((12, 8), 5) == (12, 8)
+
+
+def test_equal_titles_and_identifiers_always_meet(spark):
+    rows = [(0, 0, "Guided Probes", ["A Bo"], "2101.00001v2"), (1, 1, "<b>GUIDED</b> probes [preprint]", None, None), (2, 1, "Quite Other Words", ["C Do"], "arXiv:2101.00001"), (3, 1, "Kite", None, "none")]
+    records = X.tokenized(spark.createDataFrame(rows, "rid long, side int, title string, authors array<string>, ref string"))
+    rng = np.random.default_rng(1)
+    keyed = X.block_keys(records, rng.normal(size=(2 * X.BUCKETS, X.DIM)).astype(np.float32), np.ones(2 * X.BUCKETS, dtype=np.float32), (1, 1), 30)
+    assert {(r.ra, r.rb) for r in X.candidate_pairs(keyed, keep).collect()} == {(0, 1), (0, 2)}
+
+
 def test_hot_bucket_is_cut_into_blocks(spark):
     v = np.zeros(X.DIM, dtype=np.int8)
     v[0] = 127
