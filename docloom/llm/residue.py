@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _constants as C
+from re import _parser as P
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,13 +88,71 @@ WORDS_CHROME = (
 PROSE = re.compile(r"\b(?:so we|that say|such as|negatives|crawl\w*|parser|figures?|in section|only (?:to|for)|the model|of the runs|masked|in the style of)\b|\bwe (?:classif|add|use|drop|find|found|observ|report|count|saw|remov|filter|label|treat)", re.I)
 UNIT = re.compile(r"(?<=[.!?。])\s+|\n+|\s+[-–|·>]\s+|</?(?:html|head|title|body|p|h[1-6]|div|br|li|ul|center|hr)\b[^>]*>", re.I)
 NOTICE, FILLER, CHROME = (re.compile(p, re.I) for p in (WORDS_NOTICE, WORDS_FILLER, WORDS_CHROME))
-# Parts of words of which a notice or filler has at least one, in lower case: texts with none need no closer look.
-TRIGGERS = (
-    "not found|forbidden|gateway|unavailable|error|denied|blocked|restricted|authori|timeout|time-out|could not|cannot|can't|couldn't|not exist|no longer|request|session|in to|in again|"
-    "script|cookie|browser|robot|human|permission|maintenance|connection|traceback|exception|later|retry|limit|happens|upstream|file \"|empty|offline|suspend|went wrong|unexpected|soon|shortly|unsupported|outdated|invalid|missing|quota|captcha|verify|support|copyright|back to|search results|incident|ref. no|문의|loading|few seconds|results|찾을 수|권한|스크립트|오류|잠시|쿠키|"
-    "로그인|브라우저|세션|접근|너무 많|수 없|끊|서비스|lorem|ipsum|ipsor|dolem|aliqor|dolor|amet|placeholder|replace|goes here|body copy|heading|click|type your|to be|no desc|"
-    "no abs|no sum|no con|no text|tbd|tbc|tba|todo|xxx|n/a|asdf|coming|construction|준비|추후|입력|예시|등록된|샘플|has been|status"
-).split("|")
+
+
+def alternatives(pattern: str) -> list:
+    """The parsed alternatives of a pattern."""
+    parsed = list(P.parse(pattern, re.I))
+    return parsed[0][1][1] if len(parsed) == 1 and parsed[0][0] is C.BRANCH else [parsed]
+
+
+def strings_of(part, most: int = 64) -> set[str] | None:
+    """All strings that a part of a parsed pattern can match, if they are few; places count as empty."""
+    op, arg = part
+    if op is C.LITERAL:
+        return {chr(arg)}
+    if op is C.AT:
+        return {""}
+    if op is C.IN and len(arg) <= 4 and all(x is C.LITERAL for x, _ in arg):
+        return {chr(x) for _, x in arg}
+    if op is C.SUBPATTERN:
+        return joined_strings(arg[3], most)
+    if op is C.BRANCH:
+        own = [joined_strings(x, most) for x in arg[1]]
+        return None if None in own else set().union(*own)
+    if op is C.MAX_REPEAT and arg[1] == 1:
+        own = joined_strings(arg[2], most)
+        return own if own is None or arg[0] else own | {""}
+    return None
+
+
+def joined_strings(parts, most: int) -> set[str] | None:
+    out = {""}
+    for part in parts:
+        own = strings_of(part, most)
+        if own is None or len(out) * len(own) > most:
+            return None
+        out = {x + y for x in out for y in own}
+    return out
+
+
+def needed(parts) -> set[str]:
+    """Strings of which every match of a parsed pattern holds at least one; the empty string where none is needed."""
+    runs, now = [], {""}
+    for op, arg in parts:
+        own = strings_of((op, arg))
+        if own is not None and len(now) * len(own) <= 64:
+            now = {x + y for x in now for y in own}
+            continue
+        runs.append(now)
+        now = own or {""}
+        if op is C.BRANCH:
+            runs.append(set().union(*map(needed, arg[1])))
+        elif op is C.SUBPATTERN:
+            runs.append(needed(arg[3]))
+        elif op is C.MAX_REPEAT and arg[0]:
+            runs.append(needed(arg[2]))
+    return max([*runs, now], key=lambda x: min(map(len, x)))
+
+
+def folded(text: str) -> str:
+    """Lower case as patterns without case see it."""
+    return (text if text.isascii() else text.replace("ſ", "s").replace("ı", "i").replace("İ", "i")).lower()
+
+
+# What every notice or filler has at least one of, in lower case, taken from the patterns: texts with none hold neither.
+TRIGGERS = set().union(*(needed(x) for p in (WORDS_NOTICE, WORDS_FILLER) for x in alternatives(p)))
+TRIGGERS = sorted(t for t in TRIGGERS if not any(x != t and x in t for x in TRIGGERS))
 OTHER_SHARE = 0.25
 
 
@@ -136,7 +196,7 @@ def unit_kinds(text: str, triggers: list[str], most_other: float = 1.0) -> dict[
         unit = unit.strip(" \t\r*_>-–•[]()") if unit else ""
         if not unit:
             continue
-        low = unit.lower()
+        low = folded(unit)
         hot = any(t in low for t in triggers)
         told = hot and (PROSE.search(unit) or ('"' in unit[1:-1] and unit.count(" ") > 12))
         if hot and not told and FILLER.search(unit):
@@ -160,11 +220,10 @@ def residue_kind(text: str | None) -> str | None:
         return None
     if placeholders(text):
         return "template"
-    low = text.lower()
+    low = folded(text)
     triggers = [t for t in TRIGGERS if t in low]
-    if not triggers:
-        return None
-    n = unit_kinds(text, triggers, OTHER_SHARE)
+    # without notice and filler only a sentence among chrome can be a case
+    n = unit_kinds(text, triggers, OTHER_SHARE if triggers else 0.0)
     bad = n["notice"] + n["filler"]
     if not bad and n["chrome"] >= 6 and n["units"] <= 2 and n["other"] <= 120:
         return "notice"  # a sentence alone among a site's navigation, in whatever words

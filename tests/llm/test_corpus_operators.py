@@ -333,5 +333,11 @@ def test_residue(spark):
     assert R.residue_kind("A sentence about filters. " * 20_000) is None
 
 
+def test_residue_without_known_words():
+    found = ["Please try again in 30 seconds.", "429: too many attempts", "Operation timed out.", "Expired link.", "Service is down.", "test test test", "Home | Papers | Terms | About\nThe viewer has closed."]
+    assert [t for t in found if R.residue_kind(t) is None] == []
+    assert min(map(len, R.TRIGGERS)) >= 2
+
+
 def test_frames_without_rows():
     assert len(pd.concat(list(L.count_ngrams(iter([]))))) == 0
