@@ -27,8 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]{0,200})?/?>", re.I)
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
+# Of any length if it begins with an attribute that has a value; other signs of less and greater may stand around prose.
+LONG = r"\s+(?:[\w:@.-]+\s*=|(?:[\w:@.-]+\s+){1,4}[\w:@.-]+\s*=\s*[\"'])[^<>]*"
+INLINE = re.compile(rf"</?(?:a|abbr|b|big|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]{{0,200}}|{LONG})?/?>", re.I)
+TAG = re.compile(rf"</?[A-Za-z][^<>]{{0,200}}>|<[A-Za-z][\w:-]*{LONG}>|<!--.*?-->", re.S)
 WORD = re.compile(r"[^\W_]+")
 ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")

@@ -317,6 +317,9 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_words():
+    link = '<a class="x" href="https://reading.room/' + "a/b-" * 500 + '">word</a>s <img alt="one two" src="data:' + "A+" * 500 + '"/>here'
+    assert C.words_of(link) == ["words", "here"]
+    assert C.words_of("x <y and " + "so on " * 60 + "z> w") == ["x", "y", "and", *["so", "on"] * 60, "z", "w"]
     assert C.words_of("The <em>caf</em>é, NA­ÌVE&amp;x café １２") == ["the", "café", "naìve", "x", "café", "12"]
 
 
