@@ -316,7 +316,7 @@ class PageNoise:
         on_next = ~F.expr("right(true, length(regexp_replace(lower(right), '[^\\\\p{L}\\\\p{N}-]+$', ''))) = regexp_replace(lower(right), '[^\\\\p{L}\\\\p{N}-]+$', '')")
         split_rows = parts.select(
             "doc", "part", F.explode(F.array(F.when(on_first, F.col("line_no")), F.when(on_next, F.col("next_no")))).alias("line_no"),
-            F.lit("misread").alias("noise_kind"), F.lit(None).cast("string").alias("read"), "true",
+            F.lit("misread").alias("noise_kind"), F.concat_ws(" ", "left", "right").alias("read"), "true",
         ).where("line_no is not null")
         rejoined = F.coalesce("true", F.col("joined"))
         hyphens = (
@@ -385,12 +385,30 @@ def like_case(true: str, read: str) -> str:
     return true[:1].upper() + true[1:] if core[:1].isupper() else true
 
 
+def mended(now: str, line: str, broken: list[tuple[str, str]]) -> str:
+    """``now`` and the line that goes on in its last word, with the word put right if it was misread.
+
+    ``broken``: (both parts with a space between, the word in its true form).
+    """
+    for read, true in broken:
+        left, _, right = read.partition(" ")
+        head = re.sub(r"[-‐‑]$", "", now)
+        if not head.endswith(left) or not line.startswith(right):
+            continue
+        whole = now[len(head) - len(left) :] + right
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", whole)
+        if core.lower() != true:
+            return now[: len(head) - len(left)] + whole.replace(core, like_case(true, core), 1) + line[len(right) :]
+    return now + line
+
+
 def repair(raw: str, found: list) -> str:
     """The text without furniture, with words rejoined and misread words put right, in paragraphs."""
     by_line: dict[int, dict[str, list]] = {}
     for f in found:
         by_line.setdefault(f["line_no"], {}).setdefault(f["noise_kind"], []).append((f["read"], f["true"]))
     paragraphs, now, glue = [], "", False
+    broken: list[tuple[str, str]] = []
     lines = raw.split("\n")
     for k, line in enumerate(lines):
         own = by_line.get(k, {})
@@ -404,10 +422,12 @@ def repair(raw: str, found: list) -> str:
                 now = ""
             continue
         for read, true in own.get("misread", []):
-            if read:
+            if read and " " not in read:
                 core = re.sub(r"^[\W_]+|[\W_]+$", "", read)
                 line = line.replace(core, like_case(true, core), 1)
-        now = now + line if glue else f"{now} {line}".strip()
+        split = [x for x in own.get("misread", []) if x[0] and " " in x[0]]
+        now = mended(now, line, broken + split) if glue else f"{now} {line}".strip()
+        broken = own.get("hyphen", []) + split
         glue = False
         if "hyphen" in own:
             now, glue = re.sub(r"\s?[-‐‑¬­]\s*$", "", now), True

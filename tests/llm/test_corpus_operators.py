@@ -144,6 +144,14 @@ def test_scan_noise(spark):
     assert empty.all_findings().count() == 0
 
 
+def test_misread_word_over_a_line_end_is_repaired(spark):
+    known = "The common filter works. A well-known filter is common.\n" * 12
+    broken = "[PAGE 1]\nWe used the fi1-\nter, as the cornm-\non one of a wel1-\nknown kind does in all of the cases that were seen."
+    noise = N.PageNoise(spark.createDataFrame([(1, broken), (2, known)], "doc long, raw string"), None, keep)
+    text = {r.doc: r.text for r in noise.repaired().collect()}[1]
+    assert "We used the filter, as the common one of a well-known kind" in text
+
+
 # 5 record matching
 
 
