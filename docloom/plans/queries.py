@@ -514,8 +514,7 @@ def q_merge_changes(spark, d):
 
 
 def inferred(spark, d):
-    terms = read(spark, d, "terminology").where("target_text like '조석%'")
-    found = B.inferred_terms(q_merge_changes(spark, d), terms)
+    found = B.inferred_terms(q_merge_changes(spark, d), read(spark, d, "terminology"))
     return found.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("seq").cast("string"), "source_text").alias("key"), "source_text", "new_target", "confidence").distinct()
 
 

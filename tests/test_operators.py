@@ -183,3 +183,18 @@ def test_stream_of_files(spark, tmp_path):
     known = lambda: spark.createDataFrame([], "path string, hash string")
     watch_documents(spark, str(folder), known, lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert len(seen) == 1 and seen[0].is_new
+
+
+def test_inferred_terms_reads_the_whole_dictionary(spark, monkeypatch):
+    from docloom.plans import queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "q_merge_changes", lambda s, d: None)
+    monkeypatch.setattr(Q, "read", lambda s, d, name, *c: spark.createDataFrame([("tide", "조석"), ("sun", "태양")], "source_text string, target_text string"))
+
+    def infer(changes, terms):
+        seen.extend(r.source_text for r in terms.collect())
+        return spark.createDataFrame([], "doc_id long, seq int, source_text string, new_target string, confidence double")
+
+    monkeypatch.setattr(Q.B, "inferred_terms", infer)
+    assert Q.inferred(spark, "").count() == 0 and sorted(seen) == ["sun", "tide"]
