@@ -1,259 +1,548 @@
 """Pairs of sentences that translate each other, in documents that are rough translations.
 
-Words of both languages are hashed to a fixed number of buckets, so the translation table has a proven size. Expectation
-and maximization run over the whole corpus: every task adds up the expected counts of its documents, the counts meet in
-one aggregation by table cell. In the first round a pair of sentences counts by the figures and names that both hold and
-by its place; later rounds add what the table says.
-
-Competitive linking then accepts spans of a document from the best down: a link's gain is what the two sentences explain
-of each other's words that no accepted link explains. So a sentence may be linked again (merged and split sentences) as
-far as a good part of it is still unexplained, links may cross, and sentences without enough gain stay unlinked.
+Texts are read once: every sentence becomes a list of packed numbers, one a word, and all later steps work on these
+lists, for many documents at a time. A word of the source language is its whole form without a plural sign, a word of
+the target language its whole form without particles and the closing sign of a predicate; both are numbered by hashing
+into ``BUCKETS`` buckets. Figures and names have no number; they stand for themselves.
+
+Expectation and maximization run over all documents. A task adds up the expected counts of its documents by table cell,
+no count is too small, and the cells meet in one aggregation. The table is sparse: what a word explains with less than
+``LEAST`` is left out after all counts are added up, so a word has at most 1 / LEAST entries each way and the table that
+all tasks get is bounded by 2 * BUCKETS / LEAST entries. In the first round a pair of sentences counts by the figures
+and names that both hold and by its place; later rounds add what the table says.
+
+Competitive linking then accepts pairs of sentences that are the best of both their sentences, over and over: a link's
+gain is what the two explain of each other's words that no accepted link explains. So a sentence may be linked again
+(merged and split sentences) as far as a good part of it is still unexplained, links may cross, and sentences without
+enough gain stay unlinked.
 
 Defined results: null or empty texts have no pairs; a piece without one of the closing signs, or that ends in three dots,
-has no number and no pair; repeated rows are one row; the longest texts are handled in slices of the word matrix.
+has no number and no pair; repeated rows give equal pairs, equal gains are decided by the lower sentence numbers; long
+texts are compared in slices of their source sentences, and of a slice only what can still be linked is kept.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BITS = 11
-SIZE = 1 << BITS  # buckets of each language; bucket 0 of the source is the empty word
-CUT = regex.compile(r"(?<=[.!?])(?=\s|$)|\n")
-WORD = regex.compile(r"\p{Latin}[\p{Latin}\p{M}\p{N}-]*|\p{N}+(?:[.,]\p{N}+)*|[\p{Greek}\p{Cyrillic}]+|[\p{Katakana}ー]+|\p{Hangul}+|\p{Han}+")
-HANGUL = regex.compile(r"[\p{Hangul}\p{Han}]")
+BUCKETS = 1 << 16  # word numbers of each language; 0 is a figure or name
+LEAST = 0.03  # least probability that the table keeps
 ACCEPT, AGAIN = 0.35, 0.35
-"""Least gain of a link: of a sentence not yet linked, and of one that is."""
+"""Least gain of a link: of two sentences not yet linked, and where one is."""
+BACKGROUND = 1e-3  # weight of a pair of words that the table does not know
+BLOCK_WORDS, SLICE_CELLS = 40_000, 40_000_000  # words of the documents read at a time; word pairs looked at in a slice
+
+END = re.compile(r"[.!?\n](?:(?<=\n)|(?=\s)|\Z)")
+LATIN, MARKS = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿⱠ-Ɀ", "̀-ͯ"
+WORD = re.compile(rf"[{LATIN}][{LATIN}{MARKS}\d-]*|\d+(?:[.,]\d+)*|[Ͱ-Ͽἀ-῿Ѐ-ԯ]+|[ァ-ヿㇰ-ㇿ]+|[가-힣ᄀ-ᇿㄱ-ㆎ]+|[一-鿿㐀-䶿]+")
+TARGET_LETTER = re.compile("[가-힣ᄀ-ᇿㄱ-ㆎ一-鿿㐀-䶿]")
+# Korean particles after nouns, and the closing signs of predicates.
+PARTICLES = "으로부터 에게서 에서는 에서도 에서의 으로는 으로도 으로의 이라는 에서 에게 까지 부터 처럼 보다 마다 으로 이나 에는 에도 와의 과의 로는 로도 라는 은 는 이 가 을 를 의 에 로 와 과 도 만"
+CLOSING = "습니다 다"
+STEM = re.compile(rf"(?<=..)(?:{'|'.join((PARTICLES + ' ' + CLOSING).split())})$")
 
 
 def pieces(text: str) -> list[str]:
     """The numbered sentences of a text."""
-    out = []
-    for piece in CUT.split(text):
-        piece = piece.strip() if piece else ""
+    out, start = [], 0
+    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
+        piece = text[start:end].strip()
         if piece and piece[-1] in ".!?" and not piece.endswith("..."):
             out.append(piece)
+        start = end
     return out
 
 
-@lru_cache(maxsize=200_000)
-def source_word(word: str) -> int:
-    return 1 + zlib.crc32(word[:7].encode()) % (SIZE - 1)
+def source_word(word: str) -> str:
+    return word[:-1] if len(word) > 3 and word[-1] == "s" and word[-2] != "s" else word
+
+
+def target_word(word: str) -> str:
+    return STEM.sub("", word)
 
 
-@lru_cache(maxsize=200_000)
-def target_word(word: str) -> int:
-    return zlib.crc32(word[:2].encode()) % SIZE
+class Numbers(dict):
+    """The packed numbers of the words between two blanks: of each what it stands for as itself, and its number in the table."""
 
+    def __init__(self, source: bool):
+        super().__init__()
+        self.source = source
 
-@lru_cache(maxsize=200_000)
-def anchor(word: str) -> str:
-    """The form of a figure or name that both languages share, '' for other words."""
-    if word[0].isdigit():
-        return word.replace(",", "").rstrip(".")
-    return "" if HANGUL.match(word) or (word.islower() and word.isascii()) else word.lower()
+    def of(self, word: str) -> int:
+        figure, low = word[0].isdigit(), word.lower()
+        name = not TARGET_LETTER.match(word) and not (word.islower() and word.isascii())
+        fixed = figure or (name and (not self.source or any(c.isupper() or c.isdigit() for c in word[1:])))
+        own = word.replace(",", "").rstrip(".") if figure else low
+        bucket = 0 if fixed else 1 + zlib.crc32((source_word(low) if self.source else target_word(low)).encode()) % (BUCKETS - 1)
+        return (zlib.crc32(own.encode()) >> 1) << 32 | bucket
 
+    def __missing__(self, token: str) -> list[int]:
+        if len(self) > 500_000:  # only a store of what was worked out
+            self.clear()
+        found = self[token] = [self.of(w) for w in WORD.findall(token)]
+        return found
 
-class Side:
-    """Words of all sentences of one text: bucket, anchor and sentence of each."""
-
-    def __init__(self, text: str, source: bool):
-        self.n = 0
-        buckets, owners, self.words = [], [], []
-        for piece in pieces(text):
-            for word in WORD.findall(piece):
-                buckets.append(source_word(word.lower()) if source else target_word(word.lower()))
-                owners.append(self.n)
-                self.words.append(word)
-            self.n += 1
-        self.fixed = np.array([bool(anchor(w)) and (w[0].isdigit() or not source or any(c.isupper() or c.isdigit() for c in w[1:])) for w in self.words], dtype=bool)
-        self.buckets, self.owners = np.array(buckets, dtype=np.int64), np.array(owners, dtype=np.int64)
-        self.length = np.maximum(1, np.bincount(self.owners, minlength=self.n)) if self.n else np.zeros(0)
-
-
-def shared_anchors(s: Side, t: Side) -> list[tuple[int, int, float]]:
-    """(source word, target word, weight) of equal figures and names; rare ones in the document weigh more."""
-    at: dict[str, list[int]] = {}
-    for j, w in enumerate(t.words):
-        a = anchor(w)
-        at.setdefault(a or w.lower(), []).append(j)
-    again: dict[str, int] = {}
-    for w in s.words:
-        key = anchor(w) or w.lower()
-        again[key] = again.get(key, 0) + 1
-    out = []
-    for i, w in enumerate(s.words):
-        key = anchor(w) or w.lower()
-        for j in at.get(key, ()):
-            out.append((i, j, 1.0 / np.sqrt(len(at[key]) * again[key])))
-    return out
+
+def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+
+
+def read_texts(texts: pa.Array, numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(packed words, words of each sentence, words of each text, sentences of each text)."""
+    words: list[int] = []
+    lengths: list[int] = []
+    word_sizes, sentence_sizes = [], []
+    for text in texts.to_pylist():
+        before, sentences = len(words), len(lengths)
+        for piece in pieces(text or ""):
+            start = len(words)
+            words.extend(chain.from_iterable(map(numbers.__getitem__, piece.split())))
+            lengths.append(len(words) - start)
+        word_sizes.append(len(words) - before)
+        sentence_sizes.append(len(lengths) - sentences)
+    return np.array(words, dtype=np.int64), np.array(lengths, dtype=np.int32), np.array(word_sizes, dtype=np.int64), np.array(sentence_sizes, dtype=np.int64)
+
+
+def read_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as numbers: what they stand for, counted from 0 in each document, and their numbers in the table."""
+    numbers = Numbers(True), Numbers(False)
+    for batch in batches:
+        keys = [c for c in batch.schema.names if c not in ("_source", "_target")]
+        sides = [read_texts(batch.column(c), n) for c, n in zip(("_source", "_target"), numbers)]
+        docs = np.concatenate([np.repeat(np.arange(batch.num_rows), side[2]) for side in sides])
+        words = np.concatenate([side[0] for side in sides])
+        values, own = np.unique(docs << 32 | words >> 32, return_inverse=True)
+        distinct = np.bincount(values >> 32, minlength=batch.num_rows)
+        words = (own - (np.cumsum(distinct) - distinct)[docs]) << 32 | (words & 0xFFFFFFFF)
+        columns = [batch.column(k) for k in keys] + [pa.array(distinct.astype(np.int32))]
+        for flat, side in zip(np.split(words, [len(sides[0][0])]), sides):
+            columns += [lists(flat, side[2]), lists(side[1], side[3])]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, *READ])
+
+
+READ = ["_n", "_s", "_sn", "_t", "_tn"]
 
 
-Tables = tuple[np.ndarray, np.ndarray]
-"""Probability of a target word given a source word, and of a source word given a target word, by bucket."""
-
-
-def word_scores(s: Side, t: Side, tables: Tables | None) -> Tables:
-    """How much each source word explains each target word, and the other way; equal figures and names explain each other."""
-    if tables is None:
-        forth = np.zeros((len(s.words), len(t.words)), dtype=np.float32)
-        back = forth.copy()
-    else:
-        at = s.buckets[:, None], t.buckets[None, :]
-        forth, back = tables[0][at].astype(np.float32), tables[1][at].astype(np.float32)
-        forth[s.fixed, :] = back[s.fixed, :] = 0
-        forth[:, t.fixed] = back[:, t.fixed] = 0
-    for i, j, w in shared_anchors(s, t):
-        forth[i, j], back[i, j] = max(forth[i, j], w), max(back[i, j], w)
-    return forth, back
-
-
-def sentence_prior(s: Side, t: Side, scores: Tables) -> np.ndarray:
-    """Weight of each pair of sentences for the expected counts: what is explained, times a window around the diagonal."""
-    explained = gains(scores, s, t)
-    place = np.abs((np.arange(s.n)[:, None] + 0.5) / s.n - (np.arange(t.n)[None, :] + 0.5) / t.n) * max(s.n, t.n)
-    weight = np.minimum(1.0, (explained / 0.35) ** 2) * np.exp(-place / 4)
-    best = weight >= np.maximum(weight.max(axis=1, keepdims=True), weight.max(axis=0, keepdims=True)) * 0.5
-    return np.where(best, weight, 0.0)
-
-
-def reduce_rows(m: np.ndarray, owners: np.ndarray, n: int, how) -> np.ndarray:
-    """Over the rows of each sentence; sentences without words give 0."""
-    out = np.zeros((n, m.shape[1]), dtype=np.float32)
-    if len(owners):
-        starts = np.flatnonzero(np.diff(owners, prepend=-1))
-        out[owners[starts]] = how.reduceat(m, starts, axis=0)
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, one after the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
+def compact(index: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot of each entry, value of each slot) of the distinct values below ``total``."""
+    if total <= 8 * len(index) + 10_000:
+        seen = np.zeros(total, dtype=bool)
+        seen[index] = True
+        return (np.cumsum(seen) - 1)[index], np.flatnonzero(seen)
+    values, slots = np.unique(index, return_inverse=True)
+    return slots, values
+
+
+class Places:
+    """Where each of some codes below ``total`` occurs."""
+
+    def __init__(self, items: np.ndarray, codes: np.ndarray, total: int):
+        by_code = np.argsort(codes.astype(np.int32) if total < 1 << 31 else codes)
+        self.order = items[by_code]
+        self.dense = total <= 8 * len(codes) + 4_000_000
+        if self.dense:
+            self.counts = np.bincount(codes, minlength=total)
+            self.starts = np.cumsum(self.counts) - self.counts
+        else:
+            self.sorted = codes[by_code]
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place in ``order``, number of places) of each code."""
+        if self.dense:
+            return self.starts[codes], self.counts[codes]
+        lo = np.searchsorted(self.sorted, codes, "left")
+        return lo, np.searchsorted(self.sorted, codes, "right") - lo
+
+
+class Side:
+    """All words of one language of some documents: what they stand for, their numbers, sentences and documents."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, sentences: np.ndarray, distinct: np.ndarray):
+        self.n_sentences = sentences  # of each document
+        self.length = lengths  # of each sentence
+        self.doc = np.repeat(np.arange(len(sentences)), sentences)  # of each sentence
+        self.first = np.cumsum(sentences) - sentences  # sentence of each document
+        self.start = np.cumsum(lengths) - lengths  # word of each sentence
+        self.sentence = np.repeat(np.arange(len(lengths)), lengths)  # of each word
+        self.where = self.doc[self.sentence]  # document of each word
+        self.number = words & 0xFFFFFFFF
+        self.known = np.flatnonzero(self.number > 0)
+        # what the words stand for, over both sides of all documents, and how often that occurs on this side
+        self.n_own = int(distinct.sum())
+        self.own = (words >> 32) + (np.cumsum(distinct) - distinct)[self.where]
+        self.often = np.bincount(self.own, minlength=self.n_own)
+        seen = np.zeros(BUCKETS, dtype=bool)
+        seen[self.number] = True
+        self.vocabulary = np.flatnonzero(seen)
+        self.local = (np.cumsum(seen) - 1)[self.number]
+
+    def words_of(self, sentences: np.ndarray) -> np.ndarray:
+        return spans(self.start[sentences], self.length[sentences])
+
+
+@dataclass
+class Table:
+    """Entries of the translation table, by source word and by target word."""
+
+    forth: tuple[np.ndarray, ...]
+    back: tuple[np.ndarray, ...]
+
+    @classmethod
+    def of(cls, s: np.ndarray, t: np.ndarray, forth: np.ndarray, back: np.ndarray) -> Table:
+        both = np.sqrt(forth * back).astype(np.float32)
+
+        def rows(own: np.ndarray, other: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+            kept = np.flatnonzero(p >= LEAST)
+            kept = kept[np.lexsort((other[kept], own[kept]))]
+            counts = np.bincount(own[kept], minlength=BUCKETS)
+            return np.cumsum(counts) - counts, counts, other[kept], p[kept].astype(np.float32), both[kept]
+
+        return cls(rows(s, t, forth), rows(t, s, back))
+
+
+Matches = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def matches(a: Side, of_a: np.ndarray, b: Side, of_b: np.ndarray, rows: tuple[np.ndarray, ...] | None) -> Matches:
+    """(word of a, word of b, probability, probability for the next counts) of the words that explain each other.
+
+    Equal figures, names and words explain each other, the less the more often they occur in the document.
+    """
+    equal = Places(of_b, b.own[of_b], b.n_own)
+    start, n = equal.find(a.own[of_a])
+    own = a.own[of_a]
+    share = np.where(n > 0, 1.0 / np.sqrt(a.often[own] * np.maximum(1, b.often[own])), 0.0)
+    hit = np.flatnonzero(share >= LEAST / 3)
+    n = n[hit]
+    at_a, at_b, p = np.repeat(of_a[hit], n), equal.order[spans(start[hit], n)], np.repeat(share[hit], n).astype(np.float32)
+    if rows is None:
+        return at_a, at_b, p, np.zeros_like(p)
+    starts, counts, other, prob, both = rows
+    known = of_a[a.number[of_a] > 0]
+    n = counts[a.number[known]]
+    entry, word = spans(starts[a.number[known]], n), np.repeat(known, n)
+    # only what occurs in these documents at all
+    local = np.full(BUCKETS, -1)
+    local[b.vocabulary] = np.arange(len(b.vocabulary))
+    asked = local[other[entry]]
+    some = np.flatnonzero(asked >= 0)
+    entry, word, asked = entry[some], word[some], asked[some]
+    named = of_b[b.number[of_b] > 0]
+    width = len(b.vocabulary)
+    places = Places(named, b.where[named] * width + b.local[named], len(b.n_sentences) * width)
+    start, n = places.find(a.where[word] * width + asked)
+    hit = np.flatnonzero(n)
+    n = n[hit]
+    found = np.repeat(word[hit], n), places.order[spans(start[hit], n)], np.repeat(prob[entry[hit]], n), np.repeat(both[entry[hit]], n)
+    return np.concatenate([at_a, found[0]]), np.concatenate([at_b, found[1]]), np.concatenate([p, found[2]]), np.concatenate([np.zeros_like(p), found[3]])
+
+
+@dataclass
+class Explained:
+    """One way: entries (word that explains, explained word, group, probability, next) and groups (cell, explained word)."""
+
+    by: np.ndarray
+    word: np.ndarray
+    group: np.ndarray
+    p: np.ndarray
+    both: np.ndarray
+    group_cell: np.ndarray
+    group_word: np.ndarray
+
+    def sums(self, share: np.ndarray | None = None) -> np.ndarray:
+        """How much each group's word is explained, by words that count with ``share``."""
+        return np.minimum(1.0, np.bincount(self.group, self.p if share is None else self.p * share[self.by], minlength=len(self.group_cell)))
+
+    def only(self, cells: np.ndarray, n: int) -> Explained:
+        """The entries of some cells, which are numbered anew."""
+        new = np.full(n, -1)
+        new[cells] = np.arange(len(cells))
+        stay = new[self.group_cell] >= 0
+        entries = np.flatnonzero(stay[self.group])
+        number = np.cumsum(stay) - 1
+        return Explained(self.by[entries], self.word[entries], number[self.group[entries]], self.p[entries], self.both[entries], new[self.group_cell[stay]], self.group_word[stay])
+
+
+def join_explained(parts: list[Explained], cells: list[int]) -> Explained:
+    groups = np.cumsum([0, *(len(x.group_cell) for x in parts)])
+    before = np.cumsum([0, *cells])
+    cat = lambda name, add=None: np.concatenate([getattr(x, name) + (0 if add is None else add[k]) for k, x in enumerate(parts)])
+    return Explained(cat("by"), cat("word"), cat("group", groups), cat("p"), cat("both"), cat("group_cell", before), cat("group_word"))
+
+
+@dataclass
+class Cells:
+    """Pairs of sentences with what they explain of each other."""
+
+    s: np.ndarray
+    t: np.ndarray
+    gain: np.ndarray
+    to_target: Explained
+    to_source: Explained
+
+
+def compare_slice(s: Side, t: Side, table: Table | None, sentences: np.ndarray) -> Cells:
+    """All pairs of some source sentences with sentences of their documents that share anything."""
+    own = s.words_of(sentences)
+    docs = np.unique(s.doc[sentences])
+    other = t.words_of(spans(t.first[docs], t.n_sentences[docs]))
+    width = t.n_sentences[s.doc]  # cells of a source sentence
+    base = np.cumsum(width) - width
+    cell_of = lambda i, j: base[i] + j - t.first[s.doc[i]]
+    total = int(width.sum())
+
+    by, word, p, both = matches(s, own, t, other, table and table.forth)
+    f_cell = cell_of(s.sentence[by], t.sentence[word])
+    from_word, from_by, q, q_both = matches(t, other, s, own, table and table.back)
+    b_cell = cell_of(s.sentence[from_by], t.sentence[from_word])
+    slots, values = compact(np.concatenate([f_cell, b_cell]), total)
+    f_cell, b_cell = slots[: len(f_cell)], slots[len(f_cell) :]
+    i = np.searchsorted(base + width, values, "right")
+    j = values - base[i] + t.first[s.doc[i]]
+
+    def explained(cell: np.ndarray, by: np.ndarray, word: np.ndarray, inside: np.ndarray, sizes: np.ndarray, p: np.ndarray, both: np.ndarray) -> Explained:
+        start = np.cumsum(sizes) - sizes
+        groups, at = compact(start[cell] + inside, int(sizes.sum()))
+        group_cell = np.searchsorted(start + sizes, at, "right")
+        group_word = np.zeros(len(at), dtype=np.int64)
+        group_word[groups] = word
+        return Explained(by, word, groups, p, both, group_cell, group_word)
+
+    to_target = explained(f_cell, by, word, word - t.start[t.sentence[word]], t.length[j], p, both)
+    to_source = explained(b_cell, from_word, from_by, from_by - s.start[s.sentence[from_by]], s.length[i], q, q_both)
+    forth = np.bincount(to_target.group_cell, to_target.sums(), minlength=len(values)) / np.maximum(1, t.length[j])
+    back = np.bincount(to_source.group_cell, to_source.sums(), minlength=len(values)) / np.maximum(1, s.length[i])
+    return Cells(i, j, np.sqrt(forth * back), to_target, to_source)
+
+
+def compare(s: Side, t: Side, table: Table | None, keep) -> Cells:
+    """The pairs of sentences that ``keep`` (of one slice's pairs) chooses."""
+    words = np.cumsum(s.length.astype(np.int64) * np.maximum(1, np.bincount(t.where, minlength=len(t.n_sentences)))[s.doc])
+    parts = []
+    for number in np.unique(words // SLICE_CELLS):
+        cells = compare_slice(s, t, table, np.flatnonzero(words // SLICE_CELLS == number))
+        kept = np.flatnonzero(keep(cells))
+        n = len(cells.s)
+        parts.append(Cells(cells.s[kept], cells.t[kept], cells.gain[kept], cells.to_target.only(kept, n), cells.to_source.only(kept, n)))
+    if len(parts) == 1:
+        return parts[0]
+    sizes = [len(x.s) for x in parts]
+    cat = lambda name: np.concatenate([getattr(x, name) for x in parts])
+    return Cells(cat("s"), cat("t"), cat("gain"), join_explained([x.to_target for x in parts], sizes), join_explained([x.to_source for x in parts], sizes))
+
+
+def place(s: Side, t: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far apart two sentences stand in their texts, as a share of these."""
+    doc = s.doc[i]
+    return np.abs((i - s.first[doc] + 0.5) / s.n_sentences[doc] - (j - t.first[doc] + 0.5) / t.n_sentences[doc])
+
+
+def greatest(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    np.maximum.at(out, at, values)
     return out
 
 
-def gains(scores: Tables, s: Side, t: Side) -> np.ndarray:
-    """Share of each other's words that every pair of sentences explains (geometric mean of both ways)."""
-    to_target = np.minimum(1.0, reduce_rows(scores[0], s.owners, s.n, np.add))  # source sentences x target words
-    to_source = np.minimum(1.0, reduce_rows(np.ascontiguousarray(scores[1].T), t.owners, t.n, np.add))  # target sentences x source words
-    forth = reduce_rows(np.ascontiguousarray(to_target.T), t.owners, t.n, np.add).T / t.length
-    back = reduce_rows(np.ascontiguousarray(to_source.T), s.owners, s.n, np.add) / s.length[:, None]
-    return np.sqrt(forth * back)
-
-
-def expected_counts(s: Side, t: Side, tables: Tables | None) -> tuple[np.ndarray, np.ndarray]:
-    """(table cells, counts) of one document."""
-    weight = sentence_prior(s, t, word_scores(s, t, tables))
-    if not weight.any():
-        return np.empty(0, dtype=np.int64), np.empty(0)
-    at = s.buckets[:, None], t.buckets[None, :]
-    if tables is None:
-        prob = np.ones((len(s.words), len(t.words)), dtype=np.float32)
-    else:
-        prob = np.sqrt(tables[0][at].astype(np.float32) * tables[1][at].astype(np.float32)) + 1e-3
-    prob = prob * weight[s.owners[:, None], t.owners[None, :]]
-    # figures and names need no table
-    prob[s.fixed, :] = 0
-    prob[:, t.fixed] = 0
-    total = prob.sum(axis=0)
-    mass = np.minimum(1.0, weight.max(axis=0)[t.owners])
-    prob = prob / np.where(total > 0, total, 1.0) * mass
-    i, j = np.nonzero(prob > 0.01)
-    return s.buckets[i] * SIZE + t.buckets[j], prob[i, j]
-
-
-def count_partition(tables: Tables | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Expected counts of a partition, added up before they are shuffled."""
-    sums = np.zeros(SIZE * SIZE, dtype=np.float32)
-    for pdf in batches:
-        cells, counts = [], []
-        for a, b in zip(pdf["source"], pdf["target"]):
-            s, t = Side(a, True), Side(b, False)
-            if s.n and t.n and len(s.words) and len(t.words):
-                c, v = expected_counts(s, t, tables)
-                cells.append(c)
-                counts.append(v)
-        if cells:
-            sums += np.bincount(np.concatenate(cells), weights=np.concatenate(counts), minlength=SIZE * SIZE).astype(np.float32)
-    found = np.flatnonzero(sums > 0)
-    yield pd.DataFrame({"cell": found, "count": sums[found].astype(float)})
-
-
-def normalize(cells: np.ndarray, counts: np.ndarray) -> Tables:
-    """The translation tables from summed counts; seldom seen words give no certainty."""
-    joint = np.zeros(SIZE * SIZE, dtype=np.float32)
-    joint[cells] = counts
-    joint = joint.reshape(SIZE, SIZE)
-    forth, back = joint / (joint.sum(axis=1, keepdims=True) + 1.0), joint / (joint.sum(axis=0, keepdims=True) + 1.0)
-    return np.where(forth < 0.01, 0, forth).astype(np.float16), np.where(back < 0.01, 0, back).astype(np.float16)
-
-
-def estimate_table(pairs: DataFrame, rounds: int = 3) -> Tables:
-    """Expectation-maximization over all documents; a round is one job whose result is bounded by the table."""
+def expected_counts(s: Side, t: Side, table: Table | None) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of the table, expected count) of some documents."""
+
+    def weight(cells: Cells) -> np.ndarray:
+        far = place(s, t, cells.s, cells.t) * np.maximum(s.n_sentences, t.n_sentences)[s.doc[cells.s]]
+        return np.minimum(1.0, (cells.gain / 0.35) ** 2) * np.exp(-far / 4)
+
+    def keep(cells: Cells) -> np.ndarray:
+        w = weight(cells)
+        return (w > 0) & (w >= 0.5 * greatest(w, cells.s, len(s.length))[cells.s])
+
+    cells = compare(s, t, table, keep)
+    w = weight(cells)
+    best = np.flatnonzero(w >= 0.5 * greatest(w, cells.t, len(t.length))[cells.t])
+    w, i, j = w[best], cells.s[best], cells.t[best]
+    to_target, to_source = (x.only(best, len(cells.s)) for x in (cells.to_target, cells.to_source))
+
+    # words with a number, by sentence
+    s_words, t_words = s.known, t.known
+    s_count, t_count = np.bincount(s.sentence[s_words], minlength=len(s.length)), np.bincount(t.sentence[t_words], minlength=len(t.length))
+    s_first, t_first = np.cumsum(s_count) - s_count, np.cumsum(t_count) - t_count
+    s_rank, t_rank = np.zeros(len(s.number), dtype=np.int64), np.zeros(len(t.number), dtype=np.int64)
+    s_rank[s_words], t_rank[t_words] = np.arange(len(s_words)) - s_first[s.sentence[s_words]], np.arange(len(t_words)) - t_first[t.sentence[t_words]]
+
+    # a column is a pair of sentences and a target word; its entries are the source words
+    column_pair = np.repeat(np.arange(len(i)), t_count[j])
+    column_word = t_words[spans(t_first[j], t_count[j])]
+    height = s_count[i][column_pair]
+    first_column = np.cumsum(t_count[j]) - t_count[j]
+    known_pair = np.concatenate([to_target.group_cell[to_target.group], to_source.group_cell[to_source.group]])
+    known_s, known_t = np.concatenate([to_target.by, to_source.word]), np.concatenate([to_target.word, to_source.by])
+    known_p = np.concatenate([to_target.both, to_source.both])
+    some = np.flatnonzero(known_p > 0)
+    known_column, known_row, known_p = first_column[known_pair[some]] + t_rank[known_t[some]], s_rank[known_s[some]], known_p[some]
+
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(columns, their heights, probabilities) of a bounded number of entries."""
+        end = np.cumsum(height)
+        number = end // 4_000_000
+        for k in np.unique(number):
+            columns = np.flatnonzero(number == k)
+            h = height[columns]
+            prob = np.full(int(h.sum()), BACKGROUND if table else 1.0)
+            inside = (known_column >= columns[0]) & (known_column <= columns[-1])
+            start = np.cumsum(h) - h
+            prob[start[known_column[inside] - columns[0]] + known_row[inside]] = BACKGROUND + known_p[inside]
+            yield columns, h, prob * np.repeat(w[column_pair[columns]], h)
+
+    whole = list(parts()) if height.sum() <= 16_000_000 else None
+    total = np.zeros(len(t.number))
+    for columns, h, prob in whole or parts():
+        some = h > 0
+        if some.any():
+            start = (np.cumsum(h) - h)[some]
+            total += np.bincount(column_word[columns[some]], np.add.reduceat(prob, start), minlength=len(total))
+    mass = np.minimum(1.0, greatest(w, j, len(t.length)))[t.sentence]
+    scale = mass / np.where(total > 0, total, 1.0)
+    codes, counts = [], []
+    for columns, h, prob in whole or parts():
+        rows = s_words[spans(s_first[i][column_pair[columns]], h)]
+        width = len(t.vocabulary)
+        slots, values = compact(s.local[rows] * width + np.repeat(t.local[column_word[columns]], h), len(s.vocabulary) * width)
+        codes.append(s.vocabulary[values // width] * BUCKETS + t.vocabulary[values % width])
+        counts.append(np.bincount(slots, prob * np.repeat(scale[column_word[columns]], h), minlength=len(values)))
+    return (np.concatenate(codes), np.concatenate(counts)) if codes else (np.empty(0, dtype=np.int64), np.empty(0))
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Side, Side]]:
+    """(rows, source side, target side) of some documents at a time; documents without words on a side are left out."""
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = batch.column(name)
+        return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    (s, so), (sn, sno), (t, to), (tn, tno) = map(flat, READ[1:])
+    distinct = batch.column("_n").to_numpy().astype(np.int64)
+    some = np.flatnonzero((np.diff(so) > 0) & (np.diff(to) > 0))
+    block = np.cumsum(np.diff(so)[some] + np.diff(to)[some]) // BLOCK_WORDS
+    for number in np.unique(block):
+        rows = some[block == number]
+        side = lambda x, xo, n, no, rows=rows: Side(x[spans(xo[rows], np.diff(xo)[rows])], n[spans(no[rows], np.diff(no)[rows])].astype(np.int64), np.diff(no)[rows], distinct[rows])
+        yield rows, side(s, so, sn, sno), side(t, to, tn, tno)
+
+
+def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    values, slots = np.unique(np.concatenate(codes), return_inverse=True)
+    return values, np.bincount(slots, np.concatenate(counts))
+
+
+def count_partition(table: Table | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Expected counts of a partition, added up before they are shuffled; what grows beyond a bound goes out before."""
+    codes: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    waiting = 0
+
+    def out() -> pa.RecordBatch:
+        values, sums = merged(codes, counts)
+        return pa.RecordBatch.from_arrays([pa.array((values // BUCKETS).astype(np.int32)), pa.array((values % BUCKETS).astype(np.int32)), pa.array(sums)], names=["s", "t", "n"])
+
+    for batch in batches:
+        for _, s, t in blocks(batch):
+            c, n = expected_counts(s, t, table)
+            codes.append(c)
+            counts.append(n)
+            waiting += len(c)
+            if waiting > 4_000_000:
+                c, n = merged(codes, counts)
+                codes, counts, waiting = [c], [n], len(c)
+                if waiting > 2_000_000:
+                    yield out()
+                    codes, counts, waiting = [], [], 0
+    if codes:
+        yield out()
+
+
+def estimate_table(pairs: DataFrame, rounds: int = 3) -> Table:
+    """Expectation-maximization over all documents; a round is one job whose result is bounded by BUCKETS and LEAST."""
     table = None
-    for _ in range(rounds):
+    words = pairs.select(*READ)
+    for _ in range(max(1, rounds)):
         shared = pairs.sparkSession.sparkContext.broadcast(table)
-        counts = pairs.mapInPandas(lambda it, shared=shared: count_partition(shared.value, it), "cell long, count double").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-        table = normalize(counts["cell"].to_numpy(np.int64), counts["count"].to_numpy(np.float32))
+        cells = words.mapInArrow(lambda it, shared=shared: count_partition(shared.value, it), "s int, t int, n double").groupBy("s", "t").agg(F.sum("n").alias("n"))
+        # seldom seen words give no certainty
+        cells = cells.select("s", "t", (F.col("n") / (F.sum("n").over(W.partitionBy("s")) + 1)).alias("forth"), (F.col("n") / (F.sum("n").over(W.partitionBy("t")) + 1)).alias("back"))
+        found = cells.where((F.col("forth") >= LEAST) | (F.col("back") >= LEAST)).toPandas()
+        table = Table.of(found["s"].to_numpy(np.int64), found["t"].to_numpy(np.int64), found["forth"].to_numpy(float), found["back"].to_numpy(float))
+        shared.unpersist()
     return table
 
 
-def link(s: Side, t: Side, tables: Tables) -> list[tuple[int, int, float]]:
-    """Competitive linking: (source sentence, target sentence, gain) from the best down."""
-    if not s.n or not t.n or not len(s.words) or not len(t.words):
-        return []
-    scores = word_scores(s, t, tables)
-    gain = gains(scores, s, t)
-    free_s, free_t = np.ones(len(s.words), dtype=np.float32), np.ones(len(t.words), dtype=np.float32)
-    place = np.abs((np.arange(s.n)[:, None] + 0.5) / s.n - (np.arange(t.n)[None, :] + 0.5) / t.n)
-    nearness = 1.0 - 0.05 * place  # only to choose among equals
-    linked_s, linked_t = np.zeros(s.n, dtype=bool), np.zeros(t.n, dtype=bool)
-    taken = np.zeros((s.n, t.n), dtype=bool)
-    rows_of = [np.flatnonzero(s.owners == i) for i in range(s.n)]
-    cols_of = [np.flatnonzero(t.owners == j) for j in range(t.n)]
-    out = []
+def link(s: Side, t: Side, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Competitive linking: (source sentence, target sentence, gain), numbered over all documents of the block."""
+    # what is left of a sentence counts as a third of it at least, so a gain below a third of the least is never enough
+    cells = compare(s, t, table, lambda c: c.gain >= min(ACCEPT, AGAIN) / 3)
+    i, j, gain, forth, back = cells.s, cells.t, cells.gain.copy(), cells.to_target, cells.to_source
+    near = 1.0 - 0.05 * place(s, t, i, j)  # only to choose among equals
+    free_s, free_t = np.ones(len(s.number)), np.ones(len(t.number))
+    linked_s, linked_t = np.zeros(len(s.length), dtype=bool), np.zeros(len(t.length), dtype=bool)
+    taken = np.zeros(len(i), dtype=bool)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while True:
-        least = np.where(linked_s[:, None] | linked_t[None, :], AGAIN, ACCEPT)
-        closed = taken | (gain < least) | (linked_s[:, None] & linked_t[None, :])
-        ranked = np.where(closed, 0.0, gain * nearness)
-        i, j = np.unravel_index(np.argmax(ranked), ranked.shape)
-        if ranked[i, j] <= 0:
-            return out
-        out.append((int(i), int(j), float(gain[i, j])))
-        taken[i, j] = linked_s[i] = linked_t[j] = True
-        rows, cols = rows_of[i], cols_of[j]
-        inner = np.ix_(rows, cols)
-        free_t[cols] *= 1.0 - np.minimum(1.0, scores[0][inner].sum(axis=0))
-        free_s[rows] *= 1.0 - np.minimum(1.0, scores[1][inner].sum(axis=1))
-        # only sentences without a link can still be linked with these two
-        for k in np.flatnonzero(~linked_t):
-            gain[i, k] = left_gain(scores, rows, cols_of[k], free_s, free_t)
-        for k in np.flatnonzero(~linked_s):
-            gain[k, j] = left_gain(scores, rows_of[k], cols, free_s, free_t)
-
-
-def left_gain(scores: Tables, rows: np.ndarray, cols: np.ndarray, free_s: np.ndarray, free_t: np.ndarray) -> float:
-    """The gain of two sentences in their words that no accepted link explains, of at least a third of either sentence."""
-    if not len(rows) or not len(cols):
-        return 0.0
-    inner = np.ix_(rows, cols)
-    forth = np.minimum(1.0, (scores[0][inner] * free_s[rows][:, None]).sum(axis=0)) * free_t[cols]
-    back = np.minimum(1.0, (scores[1][inner] * free_t[cols][None, :]).sum(axis=1)) * free_s[rows]
-    left = lambda free, n: max(float(free.sum()), n / 3)
-    return float(np.sqrt(forth.sum() / left(free_t[cols], len(cols)) * back.sum() / left(free_s[rows], len(rows))))
+        some = linked_s[i] | linked_t[j]
+        able = ~taken & (gain >= np.where(some, AGAIN, ACCEPT)) & ~(linked_s[i] & linked_t[j])
+        if not able.any():
+            break
+        rank = np.empty(len(i), dtype=np.int64)
+        rank[np.lexsort((j, i, -np.round(np.where(able, gain * near, 0.0), 9)))] = np.arange(len(i), 0, -1)
+        rank[~able] = 0
+        first_s, first_t = np.zeros(len(s.length), dtype=np.int64), np.zeros(len(t.length), dtype=np.int64)
+        np.maximum.at(first_s, i, rank)
+        np.maximum.at(first_t, j, rank)
+        now = able & (first_s[i] == rank) & (first_t[j] == rank)
+        out.append((i[now], j[now], gain[now]))
+        taken |= now
+        linked_s[i[now]] = linked_t[j[now]] = True
+        for side, free in ((forth, free_t), (back, free_s)):
+            hit = now[side.group_cell]
+            free[side.group_word[hit]] *= 1.0 - side.sums()[hit]
+        # the gain in words that no accepted link explains, of at least a third of either sentence
+        left = lambda side, by, free: np.bincount(side.group_cell, side.sums(by) * free[side.group_word], minlength=len(i))
+        left_s, left_t = np.bincount(s.sentence, free_s, minlength=len(s.length)), np.bincount(t.sentence, free_t, minlength=len(t.length))
+        again = np.sqrt(left(forth, free_s, free_t) / np.maximum(left_t, t.length / 3)[j] * left(back, free_t, free_s) / np.maximum(left_s, s.length / 3)[i])
+        one = linked_s[i] ^ linked_t[j]
+        gain[one] = again[one]
+    if not out:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def link_partition(table: Table, keys: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, s, t in blocks(batch):
+            i, j, gain = link(s, t, table)
+            doc = s.doc[i]
+            chosen = pa.array(rows[doc])
+            numbers = [pa.array((i - s.first[doc]).astype(np.int32)), pa.array((j - t.first[doc]).astype(np.int32)), pa.array(gain)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(chosen) for k in keys), *numbers], names=[*keys, "source_no", "target_no", "score"])
 
 
 def align_sentences(df: DataFrame, keys: list[str], source: str, target: str, rounds: int = 3, keep=lambda df: df) -> DataFrame:
     """(keys, source_no, target_no, score) of the sentences of ``source`` and ``target`` that translate each other."""
-    pairs = keep(df.select(*keys, F.col(source).alias("source"), F.col(target).alias("target")).where("source <> '' and target <> ''"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    texts = df.select(*keys, F.col(source).alias("_source"), F.col(target).alias("_target")).where("_source <> '' and _target <> ''")
+    pairs = keep(texts.mapInArrow(read_pairs, f"{kinds}, _n int, _s array<long>, _sn array<int>, _t array<long>, _tn array<int>"))
     shared = df.sparkSession.sparkContext.broadcast(estimate_table(pairs, rounds))
-
-    @F.pandas_udf("array<struct<source_no:int,target_no:int,score:double>>")
-    def links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        tables = shared.value
-        for sources, targets in batches:
-            yield pd.Series([[{"source_no": i, "target_no": j, "score": g} for i, j, g in link(Side(a, True), Side(b, False), tables)] for a, b in zip(sources, targets)])
-
-    return pairs.select(*keys, F.inline(links("source", "target")))
+    return pairs.mapInArrow(lambda it: link_partition(shared.value, keys, it), f"{kinds}, source_no int, target_no int, score double")
