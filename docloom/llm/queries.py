@@ -94,10 +94,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of each chunk and its translation that translate each other, with a score."""
-    chunks = table(spark, sf_dir, "chunks").select("translation_id", "chunk_index", "content").distinct()
-    translated = table(spark, sf_dir, "translated_chunks").where("translated_text <> ''").select("translation_id", "chunk_index", "translated_text").distinct()
-    both = spread(chunks.join(translated, ["translation_id", "chunk_index"]), "translation_id", "chunk_index")
-    return sentence_align.align_sentences(both, ["translation_id", "chunk_index"], "content", "translated_text", keep=cut_lineage)
+    keys = ["translation_id", "chunk_index"]
+    # texts are shuffled once, by key; copies and partners meet there
+    chunks = spread(table(spark, sf_dir, "chunks").where("content <> ''").select(*keys, "content"), *keys).distinct()
+    translated = spread(table(spark, sf_dir, "translated_chunks").where("translated_text <> ''").select(*keys, "translated_text"), *keys).distinct()
+    return sentence_align.align_sentences(chunks.join(translated, keys), keys, "content", "translated_text", keep=cut_lineage)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
