@@ -79,11 +79,34 @@ def token_chunks(df: DataFrame, keys: list[str], text: str, max_tokens: int = 80
     return rows.select(*keys, F.col("chunk_index").cast("int"), "content", T.token_count(F.col("content")).cast("int").alias("token_count"), (F.col("chunk_index") > 0).alias("has_overlap"))
 
 
+def chunk_headers(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_start, title): lines that open a part of a text, with the place of their first character."""
+    rows = lines(df, key, text).withColumn("title", T.chunk_header(F.col("line")))
+    return rows.where("title is not null").select(key, "line_start", "title")
+
+
+def whole_chunks(df: DataFrame, key: str, text: str, max_tokens: int = 800, overlap: int = 100) -> DataFrame:
+    """The chunks of a text without regard to sections; start places run on by whole lengths."""
+    made = token_chunks(df, [key], text, max_tokens, overlap)
+    length = F.length("content")
+    before = F.sum(length).over(W.partitionBy(key).orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1))
+    made = made.withColumn("start_char", F.coalesce(before, F.lit(0)).cast("long"))
+    return made.select(key, "chunk_index", F.lit("Full Document").alias("section_title"), F.col("chunk_index").alias("section_index"), "content", "token_count", "start_char", (F.col("start_char") + length).alias("end_char"), "has_overlap")
+
+
+def first_tables(chunks: DataFrame, tables: DataFrame, keys: list[str], first: str = "section_index") -> DataFrame:
+    """``chunks`` with the column tables: those of their section (or text) on its first chunk, none on others."""
+    empty = F.array().cast(tables.schema["tables"].dataType)
+    both = chunks.join(tables.select(*keys, F.col("tables").alias("_tables")), keys, "left")
+    return both.withColumn("tables", F.when(F.col(first) == 0, F.coalesce("_tables", empty)).otherwise(empty)).drop("_tables")
+
+
 def section_chunks(df: DataFrame, key: str, strategy: str = "hybrid", max_tokens: int = 800, overlap: int = 100) -> DataFrame:
     """(key, chunk_index, section_title, section_index, content, token_count, start_char, end_char, has_overlap) of sections.
 
     "section" keeps every section whole, other strategies cut long ones; chunks are numbered through the document. Start
-    places run on with the part of a chunk's length that the overlap takes left out.
+    places run on with the part of a chunk's length that the overlap takes left out. The strategy "token" takes no sections:
+    ``whole_chunks``.
     """
     parts = df.select(key, "section_ord", F.col("title").alias("section_title"), "content")
     if strategy == "section":
@@ -126,14 +149,68 @@ def join_ordered(value: str, order: list[str], separator: str) -> Column:
 
 
 def assemble(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, section_title, title_ko, section_ord, content): chunks by section title, in the order in which titles first appear."""
-    made = df.groupBy(key, "section_title").agg(F.min("chunk_index").alias("_first"), join_ordered(text, ["chunk_index"], "\n\n").alias("content"))
+    """(key, section_title, title_ko, section_ord, content, tables): chunks by section title, in the order in which titles first appear.
+
+    Tables of the chunks, where ``df`` has any, follow each other in the same order.
+    """
+    rows = df if "tables" in df.columns else df.withColumn("tables", F.lit(None).cast("array<string>"))
+    listed = F.array_sort(F.collect_list(F.struct("chunk_index", F.coalesce("tables", F.array().cast("array<string>")).alias("_v"))))
+    made = rows.groupBy(key, "section_title").agg(
+        F.min("chunk_index").alias("_first"), join_ordered(text, ["chunk_index"], "\n\n").alias("content"), F.flatten(F.transform(listed, lambda x: x["_v"])).alias("tables")
+    )
     place = F.row_number().over(W.partitionBy(key).orderBy("_first", "section_title")) - 1
-    return made.select(key, "section_title", T.section_title(F.col("section_title")).alias("title_ko"), place.cast("int").alias("section_ord"), "content")
+    return made.select(key, "section_title", T.section_title(F.col("section_title")).alias("title_ko"), place.cast("int").alias("section_ord"), "content", "tables")
+
+
+def section_part(with_tables: bool) -> Column:
+    part = F.concat(F.lit("## "), F.coalesce("title_ko", "section_title", F.lit("")), F.lit("\n\n"), F.col("content"))
+    shown = F.when(F.size("tables") > 0, F.concat(F.lit("\n\n"), F.array_join("tables", "\n\n"))).otherwise("")
+    return F.concat(part, shown) if with_tables else part
 
 
 def render(assembled: DataFrame, key: str) -> DataFrame:
     """(key, markdown, md5_hash, content_length): sections under headings."""
-    part = F.concat(F.lit("## "), F.coalesce("title_ko", "section_title", F.lit("")), F.lit("\n\n"), F.col("content"))
-    made = assembled.withColumn("_part", part).groupBy(key).agg(join_ordered("_part", ["section_ord"], "\n\n").alias("markdown"))
+    made = assembled.withColumn("_part", section_part(False)).groupBy(key).agg(join_ordered("_part", ["section_ord"], "\n\n").alias("markdown"))
+    return hashed(made, key)
+
+
+def hashed(made: DataFrame, key: str) -> DataFrame:
     return made.select(key, "markdown", F.md5("markdown").alias("md5_hash"), F.length("markdown").cast("long").alias("content_length"))
+
+
+def render_simple(assembled: DataFrame, head: DataFrame, key: str, footer: str = "") -> DataFrame:
+    """As ``render``, between a title, the identifier and date if there are any, and a footer. head: key, title, arxiv_id, translated_date."""
+    made = assembled.withColumn("_part", section_part(False)).groupBy(key).agg(join_ordered("_part", ["section_ord"], "\n\n").alias("_body"))
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"> {name}: "), c))
+    text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), line("ArXiv", F.col("arxiv_id")), line("번역일", F.col("translated_date")), F.lit("---"), "_body", F.lit("---"), *([F.lit(footer)] if footer else []))
+    return hashed(made.join(head, key).withColumn("markdown", text), key)
+
+
+def render_full(assembled: DataFrame, head: DataFrame, terms: DataFrame, key: str, footer: str = "", most_terms: int = 20) -> DataFrame:
+    """(key, markdown, md5_hash, content_length): head, abstract, sections with their tables, figures of the run and its terms.
+
+    head: key, title, title_ko, arxiv_id, authors, translated_date, domain, abstract, total_pages, total_chunks, total_tokens,
+    match_rate; what is null or empty is left out, and missing figures read N/A. terms: key, ord, source_text, target_text; the
+    first ``most_terms`` are shown and the others counted.
+    """
+    body = assembled.withColumn("_part", section_part(True)).groupBy(key).agg(join_ordered("_part", ["section_ord"], "\n\n").alias("_body"))
+    shown = terms.where(F.col("ord") < most_terms).withColumn("_line", F.concat(F.lit("| "), F.coalesce("source_text", F.lit("")), F.lit(" | "), F.coalesce("target_text", F.lit("")), F.lit(" |")))
+    used = shown.groupBy(key).agg(join_ordered("_line", ["ord"], "\n").alias("_terms")).join(terms.groupBy(key).agg(F.count("*").alias("_n_terms")), key)
+    rows = body.join(head, key, "left").join(used, key, "left")
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    link = F.concat(F.lit("> **ArXiv**: ["), F.col("arxiv_id"), F.lit("](https://arxiv.org/abs/"), F.col("arxiv_id"), F.lit(")"))
+    top = F.concat_ws(
+        "\n", F.concat(F.lit("> **원제**: "), F.coalesce("title", F.lit("Unknown"))), F.when(given("arxiv_id"), link),
+        F.when(F.size("authors") > 0, F.concat(F.lit("> **저자**: "), F.array_join("authors", ", "))),
+        F.when(given("translated_date"), F.concat(F.lit("> **번역일**: "), F.col("translated_date"))), F.when(given("domain"), F.concat(F.lit("> **분야**: "), F.col("domain"))),
+    )
+    figure = lambda name, c: F.concat(F.lit(f"| {name} | "), F.coalesce(F.col(c).cast("string"), F.lit("N/A")), F.lit(" |"))
+    figures = F.concat_ws("\n", F.lit("| 항목 | 값 |\n|------|-----|"), figure("원본 페이지", "total_pages"), figure("총 청크 수", "total_chunks"), figure("번역 토큰", "total_tokens"), figure("용어 매칭률", "match_rate"))
+    more = F.when(F.col("_n_terms") > most_terms, F.concat(F.lit("\n| ... | ("), (F.col("_n_terms") - most_terms).cast("string"), F.lit("개 더) |"))).otherwise("")
+    listed = F.when(F.col("_n_terms") > 0, F.concat(F.lit("### 사용된 전문용어\n\n| 원문 | 번역 |\n|------|------|\n"), F.col("_terms"), more))
+    text = F.concat_ws(
+        "\n\n", F.concat(F.lit("# "), F.coalesce(F.nullif("title_ko", F.lit("")), "title", F.lit("알 수 없음"))), top, F.lit("---"),
+        F.when(given("abstract"), F.concat(F.lit("## 초록 (Abstract)\n\n"), F.col("abstract"), F.lit("\n\n---"))), "_body", F.lit("---"), F.concat(F.lit("## 번역 정보\n\n"), figures), listed,
+        *([F.lit("---"), F.lit(footer)] if footer else []),
+    )
+    return hashed(rows.withColumn("markdown", text), key)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.similarity import similarity
+from docloom.operators.terms import match_terms
 
 
 def line_changes(df: DataFrame, key: str, old: str, new: str, context: int = 2) -> DataFrame:
@@ -68,21 +69,33 @@ def line_multiset_changes(df: DataFrame, key: str, old: str, new: str) -> DataFr
 def inferred_terms(modified: DataFrame, terms: DataFrame, word: str = "[가-힣]+", confidence: float = 0.6) -> DataFrame:
     """Term changes that modified lines suggest: a target of the old line that the new line lacks, and the first other word of it.
 
-    ``terms`` is a dictionary of bounded size, checked by the caller.
+    Of several sources with one target the last one given (by ``ord``, else by source) counts.
     """
-    t = terms.select("source_text", "target_text").where("target_text <> ''").distinct()
-    both = modified.where("change_type = 'modified'").join(F.broadcast(t), F.col("old_text").contains(F.col("target_text")) & ~F.col("new_text").contains(F.col("target_text")))
+    latest = F.max_by("source_text", F.struct("ord", "source_text")) if "ord" in terms.columns else F.max("source_text")
+    t = terms.where("target_text <> ''").groupBy("target_text").agg(latest.alias("source_text"))
+    rows = modified.where("change_type = 'modified'")
+    # the whole rows go along, so that the changes are not worked out a second time
+    hits = match_terms(rows, rows.columns, "old_text", t, "target_text").drop("match_count")
+    hits = hits.where(F.col("old_text").contains(F.col("target_text")) & ~F.col("new_text").contains(F.col("target_text")))
     words = F.filter(F.regexp_extract_all("new_text", F.lit(f"({word})"), F.lit(1)), lambda w: (F.length(w) >= 2) & (w != F.col("target_text")))
-    return both.withColumns({"new_target": F.try_element_at(words, F.lit(1)), "confidence": F.lit(confidence)}).where("new_target is not null")
+    return hits.withColumns({"new_target": F.try_element_at(words, F.lit(1)), "confidence": F.lit(confidence)}).where("new_target is not null")
 
 
 def known_term(changes: DataFrame, terms: DataFrame, key: str, keyword: str) -> DataFrame:
-    """``changes`` with term_id of the best term whose source or target holds the keyword: exact first, then the shortest; null if none."""
+    """``changes`` with term_id of the best term whose source or target holds the keyword: exact first, then the shortest; null if none.
+
+    Distinct keywords meet the terms in a join on letters: the first three of a keyword against every run of as many in a
+    term; whole keywords are checked after that. The best term is an aggregate, so no keyword's terms are held in one place.
+    """
     t = terms.select(F.col("id").alias("term_id"), F.lower("source_text").alias("_s"), F.lower("target_text").alias("_t"))
-    low = F.lower(keyword)
-    both = changes.join(F.broadcast(t), F.col("_s").contains(low) | F.col("_t").contains(low), "left")
-    order = W.partitionBy(key).orderBy(F.when(F.col("_s") == low, 0).otherwise(1), F.length("_s"), "_s", "term_id")
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_s", "_t")
+    runs = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*[F.substring(F.col(c), i, F.lit(n)) for n in (1, 2, 3)])))
+    own = lambda c: F.when(F.length(c) > 0, runs(c)).otherwise(F.array().cast("array<string>"))
+    index = t.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.coalesce(own("_s"), F.array()), F.coalesce(own("_t"), F.array())))))
+    asked = changes.select(F.lower(keyword).alias("_k")).where("_k <> ''").distinct().withColumn("_gram", F.substring("_k", 1, 3))
+    hits = asked.join(index, "_gram").where(F.col("_s").contains(F.col("_k")) | F.col("_t").contains(F.col("_k")))
+    rank = F.struct(F.when(F.col("_s") == F.col("_k"), 0).otherwise(1).alias("far"), F.length("_s").alias("n"), F.col("_s"), F.col("term_id"))
+    best = hits.groupBy("_k").agg(F.min_by("term_id", rank).alias("term_id"))
+    return changes.withColumn("_k", F.lower(keyword)).join(best, "_k", "left").drop("_k")
 
 
 def sync_plan(changes: DataFrame, terms: DataFrame, key: str, least: float = 0.7) -> DataFrame:
@@ -97,11 +110,27 @@ def sync_plan(changes: DataFrame, terms: DataFrame, key: str, least: float = 0.7
     return rows.withColumn("action", F.explode(steps)).drop("_action")
 
 
+def hash_items(files: DataFrame) -> DataFrame:
+    """An update_hash item for each translation whose file changed. files: translation_id, old_hash, new_hash."""
+    return files.where("translation_id is not null and (old_hash is null or old_hash <> new_hash)").select("translation_id", F.lit("update_hash").alias("action"), "old_hash", "new_hash")
+
+
 def plan_preview(plan: DataFrame, first: int = 5) -> DataFrame:
-    """Of each action: how many, and the first few items."""
+    """Of each action: how many, and the first few items; only the first few of a task go through the shuffle."""
+    counts = plan.groupBy("action").agg(F.count("*").alias("n_items"))
     order = W.partitionBy("action").orderBy("source_text", "new_target")
-    rows = plan.withColumns({"n_items": F.count("*").over(W.partitionBy("action")), "place": F.row_number().over(order)})
-    return rows.where(F.col("place") <= first).select("action", "n_items", "place", "source_text", "new_target")
+    top = plan.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first)
+    return top.join(F.broadcast(counts), "action").select("action", "n_items", "place", "source_text", "new_target")
+
+
+def preview_text(preview: DataFrame, first: int = 5) -> DataFrame:
+    """(action, text): the items of a preview as lines, and how many more there are."""
+    line = F.concat(F.lit("  • "), F.col("source_text"), F.lit(" → "), F.coalesce("new_target", F.lit("")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x.line), "\n")
+    made = preview.groupBy("action", "n_items").agg(lines.alias("body"))
+    head = F.concat(F.col("action"), F.lit(" ("), F.col("n_items").cast("string"), F.lit(")\n"))
+    more = F.when(F.col("n_items") > first, F.concat(F.lit("\n  ... "), (F.col("n_items") - first).cast("string"))).otherwise("")
+    return made.select("action", F.concat(head, "body", more).alias("text"))
 
 
 def apply_plan(terms: DataFrame, plan: DataFrame) -> DataFrame:
@@ -113,6 +142,72 @@ def apply_plan(terms: DataFrame, plan: DataFrame) -> DataFrame:
     return updated.unionByName(added.select(*[given.get(c, F.lit(None)).cast(terms.schema[c].dataType).alias(c) for c in terms.columns]))
 
 
+def update_hashes(translations: DataFrame, items: DataFrame) -> DataFrame:
+    """``translations`` with the new current hash of those among ``items``."""
+    new = items.groupBy(F.col("translation_id").alias("_id")).agg(F.max("new_hash").alias("_new"))
+    both = translations.join(new, F.col("id") == F.col("_id"), "left")
+    return both.select(*[F.coalesce("_new", c).alias(c) if c == "current_md_hash" else F.col(c) for c in translations.columns])
+
+
+def change_log(plan: DataFrame, now: Column) -> DataFrame:
+    """The log rows of a plan: what was updated or added, with its term, in the log's columns."""
+    rows = plan.where("action in ('update_term', 'add_term')")
+    kind = F.when(F.col("action") == "add_term", "add").otherwise("update")
+    return rows.select(F.md5(F.concat_ws("\u0001", "source_text", "new_target", kind)).alias("id"), F.col("term_id").alias("terminology_id"), kind.alias("change_type"), "source_text", F.col("new_target").alias("new_target_text"), F.lit("user_feedback").alias("detected_from"), now.alias("created_at"))
+
+
+def applied_counts(plan: DataFrame, by: list[str]) -> DataFrame:
+    """Updated, added and logged items of each group, and whether a hash was updated."""
+    n = lambda a: F.count_if(F.col("action") == a)
+    return plan.groupBy(*by).agg(n("update_term").alias("terms_updated"), n("add_term").alias("terms_added"), n("log_change").alias("changes_logged"), F.bool_or(F.col("action") == "update_hash").alias("hash_updated"))
+
+
+def sync_summary(results: DataFrame) -> DataFrame:
+    """One row over files (success, terms_updated, terms_added, changes_logged)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return results.agg(F.count("*").alias("total_files"), F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("failed"), total("terms_updated"), total("terms_added"), total("changes_logged"))
+
+
+def change_summary(changes: DataFrame, key: str) -> DataFrame:
+    """Line changes of each text by type; texts without changes have no row."""
+    n = lambda t: F.count_if(F.col("change_type") == t)
+    return changes.groupBy(key).agg(F.count("*").alias("total_changes"), n("added").alias("n_added"), n("removed").alias("n_removed"), n("modified").alias("n_modified"))
+
+
+def changes_text(changes: DataFrame, key: str) -> DataFrame:
+    """(key, diff): the changes of a text as lines in their order, as a reader or a model is asked about them."""
+    line = (
+        F.when(F.col("change_type") == "modified", F.concat(F.lit("- 기존: "), "old_text", F.lit("\n+ 변경: "), "new_text"))
+        .when(F.col("change_type") == "removed", F.concat(F.lit("- 삭제: "), "old_text"))
+        .otherwise(F.concat(F.lit("+ 추가: "), F.col("new_text")))
+    )
+    rows = changes.withColumn("_line", line)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "_line"))), lambda x: x["_line"])
+    return rows.groupBy(key).agg(F.array_join(lines, "\n").alias("diff"))
+
+
+def diff_report(changes: DataFrame, key: str, first: int = 10, width: int = 50) -> DataFrame:
+    """(key, report): how many changes, and the first few of them with their line and shortened texts."""
+    cut = lambda c, sign: F.when(F.col(c) != "", F.concat(F.lit(f"\n   {sign} "), F.substring(c, 1, width), F.lit("..."))).otherwise("")
+    rows = changes.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("seq")))
+    top = rows.where(F.col("_n") <= first).withColumn("_line", F.concat(F.col("_n").cast("string"), F.lit(". ["), "change_type", F.lit("] "), F.col("line_no").cast("string"), cut("old_text", "-"), cut("new_text", "+")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]), "\n")
+    made = top.groupBy(key).agg(lines.alias("_body")).join(changes.groupBy(key).agg(F.count("*").alias("_all")), key)
+    more = F.when(F.col("_all") > first, F.concat(F.lit("\n   ... "), (F.col("_all") - first).cast("string"))).otherwise("")
+    return made.select(key, F.concat(F.lit("## "), F.col("_all").cast("string"), F.lit("\n"), "_body", more).alias("report"))
+
+
+def known_by_stem(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files (path, hash) with the translation whose output path ends in the file's name: the first by id; null if none.
+
+    Both sides meet in a join on the file name's stem, so that no file is compared with every translation.
+    """
+    stem = lambda c: F.lower(F.regexp_replace(F.element_at(F.split(c, "/", -1), -1), r"\.[^.]*$", ""))
+    k = known.select(stem(F.col("output_path")).alias("_stem"), F.struct("id", "current_md_hash").alias("_k")).where("_stem <> ''").groupBy("_stem").agg(F.min("_k").alias("_k"))
+    both = files.withColumn("_stem", stem(F.col("path"))).join(k, "_stem", "left")
+    return both.select(*files.columns, F.col("_k.id").alias("translation_id"), F.col("_k.current_md_hash").alias("stored_hash"))
+
+
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files (path, hash) that are unknown or whose known hash differs; a file known without a hash counts as unchanged."""
     k = known.select(F.col("path").alias("_path"), F.col("hash").alias("_hash"))

@@ -15,6 +15,7 @@ from docloom.operators import feedback as B
 from docloom.operators import terms as M
 from docloom.plans import pipeline
 from docloom.sources import io as S
+from docloom.sources import papers as PAPERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,37 +32,48 @@ def query(sql: str | None = None):
     return add
 
 
+UNIQUE = ("documents", "benchmark", "terminology", "events")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table without repeated rows; tables with a unique key, if that is read, are not shuffled for it."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return (df.select(*columns) if columns else df).distinct()
+    df = df.select(*columns) if columns else df
+    return df if name in UNIQUE and (not columns or columns[0] in ("doc_id", "id", "item_id", "event_id", "user_id")) else df.distinct()
 
 
 def chunk_texts(spark, d):
     return read(spark, d, "chunks", *CHUNK, "content")
 
 
-def nlp_terms(spark, d):
-    return read(spark, d, "terminology").where("domain = 'NLP'")
+def all_terms(spark, d):
+    return read(spark, d, "terminology")
 
 
 C = "(SELECT DISTINCT translation_id, chunk_index, content FROM chunks)"
 MATCH = f"""SELECT c.translation_id, c.chunk_index, t.id, t.source_text, t.target_text, t.usage_count,
   CAST((length(lower(content)) - length(replace(lower(content), lower(source_text), ''))) // length(lower(source_text)) AS BIGINT) AS match_count
-  FROM {C} c JOIN (SELECT DISTINCT * FROM terminology WHERE domain = 'NLP') t ON contains(lower(content), lower(source_text))"""
+  FROM {C} c JOIN terminology t ON contains(lower(content), lower(source_text))"""
 
 
 # Terms in texts
 
 
+@query(f"SELECT translation_id, chunk_index, source_text FROM ({MATCH.replace('terminology t', "(SELECT * FROM terminology WHERE domain = 'NLP') t")})")
+def q_terms_of_domain(spark, d):
+    terms = read(spark, d, "terminology").where("domain = 'NLP'")
+    return M.match_terms(chunk_texts(spark, d), CHUNK, "content", terms).select(*CHUNK, "source_text")
+
+
 @query(f"SELECT translation_id, chunk_index, source_text, match_count FROM ({MATCH})")
 def q_term_match(spark, d):
-    return M.match_terms(chunk_texts(spark, d), CHUNK, "content", nlp_terms(spark, d)).select(*CHUNK, "source_text", "match_count")
+    return M.match_terms(chunk_texts(spark, d), CHUNK, "content", all_terms(spark, d)).select(*CHUNK, "source_text", "match_count")
 
 
 @query(f"SELECT translation_id, chunk_index, source_text, match_count FROM ({MATCH})")
 def q_term_match_large(spark, d):
     """The same through the join on letters, the way of dictionaries beyond the broadcast limit."""
-    found = M.match_terms(chunk_texts(spark, d), CHUNK, "content", nlp_terms(spark, d), broadcast_bytes=0)
+    found = M.match_terms(chunk_texts(spark, d), CHUNK, "content", all_terms(spark, d), broadcast_bytes=0)
     return found.select(*CHUNK, "source_text", "match_count")
 
 
@@ -70,7 +82,7 @@ TOPK = f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY transla
 
 
 def ranked_terms(spark, d):
-    found = M.match_terms(chunk_texts(spark, d), CHUNK, "content", nlp_terms(spark, d))
+    found = M.match_terms(chunk_texts(spark, d), CHUNK, "content", all_terms(spark, d))
     return M.top_terms(found, CHUNK, 3)
 
 
@@ -96,16 +108,14 @@ def q_extra_terms(spark, d):
 
     log = read(spark, d, "term_changes", "id", "translation_id", "source_text", F.col("new_target_text").alias("target_text"), "created_at").where("target_text is not null and translation_id is not null")
     log = log.select("translation_id", "source_text", "target_text", F.row_number().over(W.partitionBy("translation_id").orderBy("created_at", "id")).alias("ord"))
-    extra = chunk_texts(spark, d).select(*CHUNK).join(log, "translation_id")
-    return M.extra_terms(ranked_terms(spark, d), extra, CHUNK, 5).select(*CHUNK, "source_text", "target_text", "rank")
+    return M.extra_terms(chunk_texts(spark, d), ranked_terms(spark, d), log, CHUNK, ["translation_id"], 3, 5).select(*CHUNK, "source_text", "target_text", "rank")
 
 
 @query("""WITH c AS (SELECT translation_id, string_agg(content, ' ' ORDER BY chunk_index, content) AS content FROM (SELECT DISTINCT translation_id, chunk_index, content FROM chunks) GROUP BY 1)
-  SELECT translation_id, source_text FROM c JOIN terminology t ON contains(lower(content), lower(source_text)) WHERE domain = 'RL'""")
+  SELECT translation_id, source_text FROM c JOIN terminology t ON contains(lower(content), lower(source_text))""")
 def q_doc_level_match(spark, d):
     whole = chunk_texts(spark, d).groupBy("translation_id").agg(D.join_ordered("content", ["chunk_index"], " ").alias("content"))
-    terms = read(spark, d, "terminology").where("domain = 'RL'")
-    return M.match_terms(whole, ["translation_id"], "content", terms).select("translation_id", "source_text")
+    return M.match_terms(whole, ["translation_id"], "content", all_terms(spark, d)).select("translation_id", "source_text")
 
 
 @query(f"""SELECT translation_id, chunk_index, string_agg('- ' || source_text || ' → ' || target_text, chr(10) ORDER BY rank) AS prompt FROM ({TOPK}) GROUP BY 1, 2""")
@@ -177,11 +187,11 @@ UPSERT = """WITH c AS (SELECT source_text, max(new_target_text) AS target_text F
   n AS (SELECT source_text, 'General' AS domain, target_text FROM c)"""
 
 
-@query(UPSERT + """ SELECT coalesce(n.source_text, t.source_text) AS source_text, coalesce(n.domain, t.domain) AS domain, CASE WHEN n.source_text IS NOT NULL THEN n.target_text ELSE t.target_text END AS target_text
+@query(UPSERT + """ SELECT t.id, coalesce(n.source_text, t.source_text) AS source_text, coalesce(n.domain, t.domain) AS domain, coalesce(n.target_text, t.target_text) AS target_text, t.usage_count, t.mapping_type
   FROM terminology t FULL JOIN n ON n.source_text = t.source_text AND n.domain = t.domain""")
 def q_upsert(spark, d):
     new = read(spark, d, "term_changes").where("change_type <> 'delete' and new_target_text is not null").groupBy("source_text").agg(F.max("new_target_text").alias("target_text"))
-    return S.upsert(read(spark, d, "terminology"), new.withColumn("domain", F.lit("General")), ["source_text", "domain"], ["target_text"])
+    return S.upsert(read(spark, d, "terminology"), new.withColumn("domain", F.lit("General")), ["source_text", "domain"]).select("id", "source_text", "domain", "target_text", "usage_count", "mapping_type")
 
 
 @query("""WITH u AS (SELECT terminology_id AS id, max(new_target_text) AS target_text FROM term_changes WHERE change_type = 'update' AND terminology_id IS NOT NULL GROUP BY 1)
@@ -242,7 +252,7 @@ def q_line_offsets(spark, d):
     return D.lines(papers(spark, d), "paper_doc_id", "raw_text")
 
 
-NAMES = "|".join(n.replace("_", " ") for n in T.HEADER_NAMES)
+NAMES = "|".join(T.HEADER_NAMES)
 SECTIONS = rf"""WITH l AS ({LINES}), h AS (SELECT *, regexp_matches(regexp_replace(line, '^\s+|\s+$', '', 'g'), '(?i)^(\d+\.?\s*)?({NAMES})s?\s*$')
    OR regexp_matches(regexp_replace(line, '^\s+|\s+$', '', 'g'), '(?i)^\d+\.\s+[A-Z][A-Z\s]+$') AS header, TRY_CAST(nullif(regexp_extract(line, '^\s*\[PAGE (\d+)\]', 1), '') AS INT) AS mark FROM l),
   s AS (SELECT *, sum(CAST(header AS INT)) OVER w AS sid, coalesce(last_value(mark IGNORE NULLS) OVER w, 1) AS page FROM h WINDOW w AS (PARTITION BY paper_doc_id ORDER BY line_no)),
@@ -323,6 +333,8 @@ def q_chunk_summary(spark, d):
     return D.chunk_summary(read(spark, d, "chunks"), ["translation_id"])
 
 
+_LATER = r"lower(regexp_replace(section_title, '^\d+\.?\s*', ''))"
+_KNOWN = "coalesce(" + ", ".join(f"CASE WHEN contains({_LATER}, '{a}') THEN '{b}' END" for a, b in T.SECTION_TITLES.items()) + ")"
 ASSEMBLE = """WITH c AS (SELECT DISTINCT c.translation_id, c.chunk_index, section_title, t.translated_text AS text FROM (SELECT DISTINCT * FROM chunks) c JOIN (SELECT DISTINCT * FROM translated_chunks) t USING (translation_id, chunk_index)),
   g AS (SELECT translation_id, section_title, min(chunk_index) AS f, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS content FROM c GROUP BY 1, 2)"""
 
@@ -333,10 +345,15 @@ def translated(spark, d):
 
 @query(ASSEMBLE + " SELECT translation_id, section_title, CAST(row_number() OVER (PARTITION BY translation_id ORDER BY f, section_title NULLS FIRST) - 1 AS INT) AS section_ord, content FROM g")
 def q_assemble(spark, d):
-    return D.assemble(translated(spark, d), "translation_id").drop("title_ko")
+    return D.assemble(translated(spark, d), "translation_id").drop("title_ko", "tables")
 
 
-@query()
+TITLED = f"CASE WHEN {_KNOWN} IS NULL THEN section_title ELSE regexp_extract(section_title, '^(\\d+\\.?\\s*)', 1) || {_KNOWN} END"
+
+
+@query(ASSEMBLE + f""", r AS (SELECT *, row_number() OVER (PARTITION BY translation_id ORDER BY f, section_title NULLS FIRST) AS o FROM g),
+  m AS (SELECT translation_id, string_agg('## ' || coalesce({TITLED}, '') || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY o) AS markdown FROM r GROUP BY 1)
+  SELECT translation_id, markdown, md5(markdown) AS md5_hash, CAST(length(markdown) AS BIGINT) AS content_length FROM m""")
 def q_render(spark, d):
     return D.render(D.assemble(translated(spark, d), "translation_id"), "translation_id")
 
@@ -347,16 +364,13 @@ def q_text_hash(spark, d):
 
 
 @query(r"""WITH s AS (SELECT DISTINCT arxiv_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM arxiv_papers)
-  SELECT arxiv_id, slug, '2025-01-01_' || substr(slug, 1, 50) || '_' || arxiv_id AS filename FROM s""")
+  SELECT arxiv_id, slug, regexp_replace(regexp_replace(regexp_replace('20250101_' || substr(slug, 1, 50) || '_' || arxiv_id, '[^\p{L}\p{N}_-]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS filename FROM s""")
 def q_slug_filename(spark, d):
     rows = read(spark, d, "arxiv_papers", "arxiv_id", "title")
-    return rows.select("arxiv_id", T.slug(F.col("title")).alias("slug"), T.filename(F.col("title"), "2025-01-01", F.col("arxiv_id")).alias("filename")).distinct()
-
+    return rows.select("arxiv_id", T.slug(F.col("title")).alias("slug"), T.filename(F.col("title"), "20250101", F.col("arxiv_id")).alias("filename")).distinct()
 
-_KNOWN = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(section_title), '{a}') THEN '{b}' END" for a, b in T.SECTION_TITLES.items()) + ")"
 
-
-@query(rf"""SELECT section_title, CASE WHEN {_KNOWN} IS NULL THEN section_title WHEN regexp_extract(section_title, '^\s*(\d+\.?)', 1) <> '' THEN regexp_extract(section_title, '^\s*(\d+\.?)', 1) || ' ' || {_KNOWN} ELSE {_KNOWN} END AS title_ko FROM (SELECT DISTINCT section_title FROM chunks)""")
+@query(rf"""SELECT section_title, CASE WHEN {_KNOWN} IS NULL THEN section_title ELSE regexp_extract(section_title, '^(\d+\.?\s*)', 1) || {_KNOWN} END AS title_ko FROM (SELECT DISTINCT section_title FROM chunks)""")
 def q_title_map(spark, d):
     return read(spark, d, "chunks", "section_title").select("section_title", T.section_title(F.col("section_title")).alias("title_ko"))
 
@@ -398,9 +412,9 @@ def q_validate_fuzzy(spark, d):
 
 
 @query("""SELECT translation_id, CAST(count(*) AS BIGINT) AS n_checks, CAST(count(*) FILTER (status = 'matched') AS BIGINT) AS n_matched, CAST(count(*) FILTER (status = 'similar') AS BIGINT) AS n_similar,
-  CAST(count(*) FILTER (status = 'mismatched') AS BIGINT) AS n_mismatched, CAST(count(*) FILTER (status = 'missing') AS BIGINT) AS n_missing, round(count(*) FILTER (status IN ('matched', 'similar')) * 100.0 / count(*), 2) AS match_rate FROM (SELECT DISTINCT * FROM term_validations) GROUP BY 1""")
+  CAST(count(*) FILTER (status = 'mismatched') AS BIGINT) AS n_mismatched, CAST(count(*) FILTER (status = 'missing') AS BIGINT) AS n_missing, round(count(*) FILTER (status IN ('matched', 'similar')) * 100.0 / count(*), 2) AS match_rate FROM (SELECT DISTINCT validation_id, translation_id, status FROM term_validations) GROUP BY 1""")
 def q_match_rate(spark, d):
-    return M.status_summary(read(spark, d, "term_validations"), ["translation_id"])
+    return M.status_summary(read(spark, d, "term_validations", "validation_id", "translation_id", "status"), ["translation_id"])
 
 
 @query("SELECT DISTINCT validation_id, translation_id, source_text FROM term_validations WHERE status = 'missing'")
@@ -444,9 +458,9 @@ def q_terms_used(spark, d):
 
 
 @query("""SELECT source_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS n_completed, CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS n_failed, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
-  CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, round(count(*) FILTER (status = 'completed') * 100.0 / count(*), 2) AS success_rate, round(avg(translation_time) FILTER (status = 'completed'), 4) AS avg_seconds FROM (SELECT DISTINCT * FROM translated_chunks) GROUP BY 1""")
+  CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, round(count(*) FILTER (status = 'completed') * 100.0 / count(*), 2) AS success_rate, round(sum(CAST(round(translation_time * 1000000) AS BIGINT)) FILTER (status = 'completed') / nullif(count(translation_time) FILTER (status = 'completed'), 0) / 1000000, 4) AS avg_seconds FROM (SELECT DISTINCT * FROM translated_chunks) GROUP BY 1""")
 def q_call_summary(spark, d):
-    return E.call_summary(read(spark, d, "translated_chunks"), ["source_name"])
+    return E.call_summary(read(spark, d, "translated_chunks", *CHUNK, "source_name", "status", "input_tokens", "output_tokens", "translation_time", "translated_at", "ingested_at", "retry_count"), ["source_name"])
 
 
 @query("""WITH t AS (SELECT DISTINCT translation_id, chunk_index, status FROM translated_chunks), f AS (SELECT *, min(CASE WHEN status = 'failed' THEN chunk_index END) OVER (PARTITION BY translation_id) AS f FROM t)
@@ -464,7 +478,7 @@ def _reverse(text: str) -> str:
 @query(r"""SELECT id, CASE WHEN regexp_full_match(source_text, '[\x00-\x7F]*') THEN reverse(source_text) END AS output, CASE WHEN regexp_full_match(source_text, '[\x00-\x7F]*') THEN 'completed' ELSE 'failed' END AS status,
   CASE WHEN regexp_full_match(source_text, '[\x00-\x7F]*') THEN NULL ELSE 'not plain' END AS error_message FROM (SELECT DISTINCT id, source_text FROM term_changes)""")
 def q_enrich_stub(spark, d):
-    done = E.enrich(read(spark, d, "term_changes", "id", "source_text"), ["id"], "source_text", _reverse)
+    done = E.enrich(read(spark, d, "term_changes", "id", "source_text"), ["id"], ["source_text"], _reverse)
     return done.select("id", "output", "status", "error_message")
 
 
@@ -547,7 +561,8 @@ def q_plan_preview(spark, d):
     return B.plan_preview(plan(spark, d))
 
 
-@query()
+@query(PLAN + """, l AS (SELECT term_id, max(new_target) AS t FROM p WHERE action = 'update_term' GROUP BY 1), n AS (SELECT source_text, max(new_target) AS target_text FROM p WHERE action = 'add_term' GROUP BY 1)
+  SELECT id, source_text, coalesce(l.t, target_text) AS target_text, domain FROM terminology LEFT JOIN l ON l.term_id = id UNION ALL SELECT md5(source_text || chr(1) || 'General'), source_text, target_text, 'General' FROM n""")
 def q_apply_plan(spark, d):
     return B.apply_plan(read(spark, d, "terminology"), plan(spark, d)).select("id", "source_text", "target_text", "domain")
 
@@ -555,18 +570,9 @@ def q_apply_plan(spark, d):
 # Messages and papers
 
 
-@query(r"""WITH m AS (SELECT DISTINCT arxiv_id, pdf_url || ' ' || title AS content FROM arxiv_papers)
-  SELECT arxiv_id, nullif(regexp_extract(content, '(https?://\S+)', 1), '') AS url, nullif(regexp_extract(content, '(\d{4}\.\d{4,5})', 1), '') AS found_id,
-  CASE WHEN regexp_matches(lower(content), '\b(nlp|language|text)\b') THEN 'NLP' WHEN regexp_matches(lower(content), '\b(cv|vision|image)\b') THEN 'CV' WHEN regexp_matches(lower(content), '\b(rl|reinforcement)\b') THEN 'RL' END AS domain FROM m""")
-def q_route(spark, d):
-    c = F.concat_ws(" ", "pdf_url", "title")
-    rows = read(spark, d, "arxiv_papers", "arxiv_id", "pdf_url", "title").withColumn("content", c)
-    return rows.select("arxiv_id", T.message_url(F.col("content")).alias("url"), T.message_id(F.col("content")).alias("found_id"), T.message_domain(F.col("content")).alias("domain")).distinct()
-
-
 @query(r"""SELECT DISTINCT paper_doc_id, CASE WHEN source_path LIKE 'http%' THEN 'url' WHEN regexp_matches(source_path, '^\d+\.\d+(v\d+)?$') THEN 'arxiv_id' ELSE 'file' END AS source_type FROM parsed_papers""")
 def q_source_type(spark, d):
-    return read(spark, d, "parsed_papers", "paper_doc_id", "source_path").select("paper_doc_id", T.source_type(F.col("source_path")).alias("source_type")).distinct()
+    return read(spark, d, "parsed_papers", "paper_doc_id", "source_path").select("paper_doc_id", T.fetch_kind(F.col("source_path")).alias("source_type")).distinct()
 
 
 @query(r"""SELECT DISTINCT paper_id, CASE WHEN regexp_matches(arxiv_id, '^\d+\.\d+(v\d+)?$') THEN arxiv_id END AS clean_id FROM semantic_scholar_papers WHERE arxiv_id IS NOT NULL""")
@@ -598,22 +604,16 @@ def q_json_array(spark, d):
 @query("""SELECT DISTINCT paper_id, title, citation_count FROM (SELECT DISTINCT paper_id, title, citation_count FROM semantic_scholar_papers WHERE citation_count >= 10 AND year BETWEEN 2018 AND 2024
   AND regexp_matches(lower(concat_ws(' ', title, abstract)), 'parsing|retrieval')) ORDER BY citation_count DESC, paper_id LIMIT 50""")
 def q_top_cited(spark, d):
-    rows = S.search_papers(read(spark, d, "semantic_scholar_papers"), ["parsing", "retrieval"], None, 2018, 2024, 10)
+    rows = PAPERS.search_papers(read(spark, d, "semantic_scholar_papers"), ["Parsing", "retrieval"], None, 2018, 2024, 10)
     return rows.select("paper_id", "title", "citation_count").distinct().orderBy(F.desc("citation_count"), "paper_id").limit(50)
 
 
 @query("""SELECT DISTINCT arxiv_id, published FROM arxiv_papers WHERE list_has_any(categories, ['cs.CL', 'cs.AI']) ORDER BY published DESC, arxiv_id LIMIT 100""")
 def q_recent_papers(spark, d):
-    rows = S.search_papers(read(spark, d, "arxiv_papers"), [], ["cs.CL", "cs.AI"])
+    rows = PAPERS.search_papers(read(spark, d, "arxiv_papers"), [], ["cs.CL", "cs.AI"])
     return rows.select("arxiv_id", "published").distinct().orderBy(F.desc("published"), "arxiv_id").limit(100)
 
 
 @query("""SELECT arxiv_id, CASE WHEN len(authors) > 2 THEN array_to_string(authors[1:2], ', ') || ' +' || (len(authors) - 2) ELSE array_to_string(authors, ', ') END AS author_line FROM (SELECT DISTINCT arxiv_id, authors FROM arxiv_papers)""")
 def q_author_line(spark, d):
     return read(spark, d, "arxiv_papers", "arxiv_id", "authors").select("arxiv_id", T.author_line(F.col("authors")).alias("author_line"))
-
-
-@query()
-def q_translate_documents(spark, d):
-    """The whole dataflow with a function that needs no service."""
-    return pipeline.translate_documents(papers(spark, d), "paper_doc_id", "raw_text", read(spark, d, "terminology"), str.upper)

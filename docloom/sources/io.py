@@ -72,19 +72,35 @@ def replace_table(df: DataFrame, folder: str, version: str) -> str:
 # Changes of stored tables, as joins
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """All rows of both; where the key is in both, the new values. The new side must be unique in its key."""
-    fresh = new.select(*keys, *[F.col(v).alias(f"_{v}") for v in values], F.lit(True).alias("_new"))
-    both = old.select(*keys, *values).join(fresh, keys, "full_outer")
-    return both.select(*keys, *[F.when(F.col("_new"), F.col(f"_{v}")).otherwise(F.col(v)).alias(v) for v in values])
-
-
-def update_columns(df: DataFrame, key: str, changes: DataFrame, allowed: list[str]) -> DataFrame:
-    """Rows with the non-null values of ``changes`` in the allowed columns; other columns of ``changes`` are left out."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], now: Column | None = None) -> DataFrame:
+    """All rows of both, in all columns of the old side; where the key is in both, the new side's values that are not null.
+
+    The new side must be unique in its key. ``now`` is written to updated_at of the rows that the new side touches, and to
+    created_at of the rows that it adds.
+    """
+    use = [c for c in new.columns if c in old.columns and c not in keys]
+    fresh = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in use], F.lit(True).alias("_new"))
+    both = old.withColumn("_old", F.lit(True)).join(fresh, keys, "full_outer")
+    made = {c: F.coalesce(f"_{c}", c) if c in use else F.col(c) for c in old.columns}
+    if now is not None:
+        for c, touched in (("updated_at", F.col("_new")), ("created_at", F.col("_new") & F.col("_old").isNull())):
+            if c in made:
+                made[c] = F.when(touched, now).otherwise(made[c])
+    return both.select(*[e.alias(c) for c, e in made.items()])
+
+
+def update_columns(df: DataFrame, key: str, changes: DataFrame, allowed: list[str], now: Column | None = None) -> DataFrame:
+    """Rows with the non-null values of ``changes`` in the allowed columns; other columns of ``changes`` are left out.
+
+    ``now`` is written to updated_at of the rows that are among ``changes``.
+    """
     use = [c for c in changes.columns if c in allowed]
     given = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in use])
     both = df.join(given, F.col(key) == F.col("_key"), "left")
-    return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in use else F.col(c) for c in df.columns])
+    made = {c: F.coalesce(f"_{c}", c) if c in use else F.col(c) for c in df.columns}
+    if now is not None and "updated_at" in made:
+        made["updated_at"] = F.when(F.col("_key").isNotNull(), now).otherwise(F.col("updated_at"))
+    return both.select(*[e.alias(c) for c, e in made.items()])
 
 
 def increment(df: DataFrame, key: str, counter: str, used: DataFrame) -> DataFrame:
@@ -110,16 +126,3 @@ def import_actions(rows: DataFrame, terms: DataFrame, overwrite: bool) -> DataFr
     known = terms.select("source_text", "domain", F.lit(True).alias("known")).distinct()
     action = F.when(F.col("known").isNull(), "add").when(F.lit(overwrite), "update").otherwise("skip")
     return rows.join(known, ["source_text", "domain"], "left").withColumn("action", action).drop("known")
-
-
-def search_papers(papers: DataFrame, words: list[str], categories: list[str] | None = None, year_from: int | None = None, year_to: int | None = None, least_citations: int = 0) -> DataFrame:
-    """Papers with one of the words in title or abstract, filtered before any limit."""
-    text = F.lower(F.concat_ws(" ", "title", "abstract"))
-    out = papers.where(text.rlike("|".join(words))) if words else papers
-    if categories:
-        out = out.where(F.arrays_overlap("categories", F.array(*map(F.lit, categories))))
-    if year_from is not None:
-        out = out.where(F.col("year") >= year_from)
-    if year_to is not None:
-        out = out.where(F.col("year") <= year_to)
-    return out.where(F.col("citation_count") >= least_citations) if least_citations else out

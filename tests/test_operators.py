@@ -103,7 +103,10 @@ def test_correction(spark):
 def test_ids_and_routes(spark):
     got = [value(spark, T.arxiv_id(F.lit(x))) for x in ("1706.03762", "https://arxiv.org/abs/2301.00234", "https://arxiv.org/pdf/1706.03762v2.pdf", "invalid_url")]
     assert got == ["1706.03762", "2301.00234", "1706.03762v2", None]
-    assert value(spark, T.message_domain(F.lit("a vision paper"))) == "CV" and value(spark, T.message_domain(F.lit("a curl url"))) is None
+    assert value(spark, T.message_domain(F.lit("a vision paper"))) == "CV" and value(spark, T.message_domain(F.lit("이 언어 논문 번역해줘"))) == "NLP"
+    assert value(spark, T.message_domain(F.lit("a url"))) == "RL" and value(spark, T.message_domain(F.lit("a paper"))) == "General"
+    assert [value(spark, T.source_type(F.lit(x))) for x in ("http://x", "2301.00234", "2301.00234v1", "a.pdf")] == ["url", "arxiv_id", "file", "file"]
+    assert value(spark, T.fetch_kind(F.lit("2301.00234v1"))) == "arxiv_id"
 
 
 def test_markdown_table(spark):
@@ -144,7 +147,7 @@ def test_enrich(spark):
         return text.upper()
 
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "flaky")], "k long, t string")
-    got = {(r.k, r.output, r.status, r.retry_count) for r in E.enrich(df, ["k"], "t", call, attempts=3, delay=0.001).collect()}
+    got = {(r.k, r.output, r.status, r.retry_count) for r in E.enrich(df, ["k"], ["t"], call, attempts=3, delay=0.001).collect()}
     assert got == {(1, "OK", "completed", 0), (2, None, "failed", 0), (3, None, "failed", 2)}
     stop = spark.createDataFrame([(1, 0, "completed"), (1, 1, "failed"), (1, 2, "completed"), (2, 0, "completed")], "k long, i int, status string")
     assert E.until_first_failure(stop, "k", "i").count() == 3
@@ -158,7 +161,7 @@ def test_tables(spark, tmp_path):
     assert S.read_terms(spark, str(tmp_path / "t.csv")).count() == 1
     old = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, v string")
     new = spark.createDataFrame([("b", None), ("c", "z")], "k string, v string")
-    assert {(r.k, r.v) for r in S.upsert(old, new, ["k"], ["v"]).collect()} == {("a", "x"), ("b", None), ("c", "z")}
+    assert {(r.k, r.v) for r in S.upsert(old, new, ["k"]).collect()} == {("a", "x"), ("b", "y"), ("c", "z")}
     (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "y.pdf").write_bytes(b"nothing")
     assert S.read_pdf_bytes(spark, str(tmp_path / "*.pdf")).count() == 1
@@ -169,8 +172,27 @@ def test_tables(spark, tmp_path):
 def test_whole_dataflow(spark):
     papers = spark.createDataFrame([(1, "[PAGE 1]\nA title of some length\nAbstract\nWe use atten-\ntion.\nReferences\n[1] x\n")], "k long, raw string")
     terms = spark.createDataFrame([("1", "attention", "어텐션", 1)], "id string, source_text string, target_text string, usage_count int")
-    r = pipeline.translate_documents(papers, "k", "raw", terms, str.upper).first()
-    assert r.markdown == "## 초록\n\nWE USE ATTENTION."
+    seen = lambda text, prompt, hint: f"{text.upper()} <{prompt}> <{hint}>"
+    r = pipeline.translate_documents(papers, "k", "raw", terms, seen).first()
+    assert "## 초록\n\nWE USE ATTENTION. <- attention → 어텐션> <Paper: A title of some length | Section: Abstract>" in r.markdown
+    assert r.markdown.startswith("# A title of some length\n\n> **원제**: A title of some length\n\n---") and "| 총 청크 수 | 1 |" in r.markdown
+    assert "| attention | 어텐션 |" in r.markdown and "| 용어 매칭률 | 100.00 |" in r.markdown and r.filename == "paper_a-title-of-some-length"
+    # a call that fails adds nothing, and its terms are not checked
+    def broken(text, prompt, hint):
+        raise ValueError("no")
+
+    r = pipeline.translate_documents(papers, "k", "raw", terms, broken).first()
+    assert "## 초록\n\n\n\n---" in r.markdown and "| 용어 매칭률 | N/A |" in r.markdown
+
+
+def test_correction_in_the_dataflow(spark):
+    done = spark.createDataFrame([(1, 0, "the attention", "그 어텐숀 과 어텐숀", "completed"), (1, 1, "the attention", None, "failed")], "k long, chunk_index int, content string, output string, status string")
+    ranked = spark.createDataFrame([(1, 0, 1, "attention", "어텐션"), (1, 1, 1, "attention", "어텐션")], "k long, chunk_index int, rank int, source_text string, target_text string")
+    texts, checks = pipeline.postprocess(done, ranked, "k", threshold=0.9, least=0.5)
+    assert {(r.chunk_index, r.text) for r in texts.collect()} == {(0, "그 어텐션 과 어텐숀"), (1, "")}
+    assert [(r.found_status, r.found_text, r.corrected) for r in checks.collect()] == [("mismatched", "어텐숀", True)]
+    texts, checks = pipeline.postprocess(done, ranked, "k", threshold=0.9, least=0.5, auto_correct=False)
+    assert {r.text for r in texts.collect()} == {"그 어텐숀 과 어텐숀", ""} and not checks.first().corrected
 
 
 def test_stream_of_files(spark, tmp_path):
