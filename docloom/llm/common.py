@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a temporary one is taken, but only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="docloom-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so that later steps read it instead of computing it again.
+    """Write ``df`` as a table in the shared folder and read that, so that later steps do not compute it again.
 
-    The folder named in ``spark.checkpoint.dir`` is used; only where the session names none, a local one is set.
+    A table is computed once (a checkpoint is computed once for its job and once for its files), keeps columns apart and is
+    there whatever executors are lost. It is deleted when the application ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(os.path.abspath("spark-warehouse"), "checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/docloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

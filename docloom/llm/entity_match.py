@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.llm.common import spread
+
 BUCKETS = 1 << 13  # of tokens, for each attribute
 DIM = 48
 LIKE_TITLE, LIKE_AUTHORS, LIKE_BOTH = 0.85, 0.4, 0.4
@@ -387,9 +389,9 @@ def match_records(left: DataFrame, right: DataFrame, tables: tuple[int, int] = (
     spark = left.sparkSession
     a = left.where("id is not null and title is not null").select("id", F.lit(0).alias("side"), "title", "authors", "year", F.coalesce("work", "id").alias("ref"))
     b = right.where("id is not null and title is not null").select("id", F.lit(1).alias("side"), "title", "authors", "year", "ref")
-    # short numbers stand for the keys; they are written down before they are used
-    records = a.unionByName(b).dropDuplicates(["side", "id"]).withColumn("rid", F.monotonically_increasing_id())
-    records = keep(tokenized(records))
+    # numbers made from the keys stand for them, so that two runs over the same rows make the same walks and blocks
+    records = a.unionByName(b).dropDuplicates(["side", "id"]).withColumn("rid", F.xxhash64("side", "id"))
+    records = keep(tokenized(spread(records, "rid").sortWithinPartitions("rid")))
     n = records.count()
     if not n:
         return spark.createDataFrame([], "left_id string, right_id string, confidence double")

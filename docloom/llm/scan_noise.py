@@ -20,12 +20,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.llm.common import spread
+
 PAGE = re.compile(r"^\[PAGE \d+\]\s*$")
 # What a recogniser makes of letters; read form and true form.
 CONFUSIONS = [pair.split(">") for pair in "c>e 1>i 1>l 0>o 5>s 9>g 8>b 6>b b>h h>li cl>d d>cl rn>m m>rn ii>u vv>w rm>nn f>e o>a j>i".split()]
@@ -44,23 +48,66 @@ def skeleton(text: str) -> str:
     return text
 
 
+@lru_cache(maxsize=500_000)
+def word_forms(word: str) -> tuple[str, str]:
+    """The form of a word in a line's keys, and that with its letters hidden."""
+    form = "#" if sum(map(str.isdigit, word)) * 2 > sum(map(str.isalnum, word)) else skeleton(word) or word
+    return form, re.sub(r"[^\W_]+", "*", form, count=1)
+
+
 def distance_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``."""
+    """Whether the edit distance is at most ``most``; only cells that near the diagonal are worked out."""
+    if a == b:
+        return True
     if abs(len(a) - len(b)) > most:
         return False
-    row = list(range(len(b) + 1))
+    far = most + 1
+    row = [j if j <= most else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
-        if min(new) > most:
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        new = [far] * (len(b) + 1)
+        new[0] = i if i <= most else far
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        if min(new[lo - 1 : hi + 1]) > most:
             return False
         row = new
     return row[-1] <= most
 
 
+def slips_allowed(a: int, b: int) -> int:
+    """The edit distance up to which two forms of these lengths are alike."""
+    return max(a, b) // 8 + (min(a, b) > 3)
+
+
 def alike(a: str, b: str) -> bool:
-    return bool(a) and bool(b) and distance_within(a, b, max(len(a), len(b)) // 8 + (min(len(a), len(b)) > 3))
+    return bool(a) and bool(b) and distance_within(a, b, slips_allowed(len(a), len(b)))
+
+
+def with_partner(forms: dict[str, set[int]]) -> set[str]:
+    """The forms that stand on two pages, or are alike to a form on another page.
+
+    Of two forms with k slips one has at least one of k + 1 pieces of the other at nearly the same place. So forms are
+    looked up by their pieces, and not compared with all others.
+    """
+    out = {f for f, pages in forms.items() if len(pages) > 1}
+    places: dict[int, dict[str, list[tuple[int, str]]]] = {}
+    for form, pages in forms.items():
+        if form in out:
+            continue
+        n = len(form)
+        longest = next(m for m in range(n + n // 7 + 2, n - 1, -1) if m - n <= slips_allowed(n, m))
+        k = slips_allowed(n, longest)
+        size = max(1, n // (k + 1))
+        if size not in places:
+            places[size] = {}
+            for f in forms:
+                for at in range(len(f) - size + 1):
+                    places[size].setdefault(f[at : at + size], []).append((at, f))
+        near = {f for piece in range(k + 1) for at, f in places[size].get(form[piece * size : (piece + 1) * size], ()) if abs(at - piece * size) <= k and f != form}
+        if any(forms[f] != pages and alike(form, f) for f in near):
+            out.add(form)
+    return out
 
 
 def roman(n: int) -> str:
@@ -137,11 +184,11 @@ class Layout:
         kept = {key for key, n in votes.items() if n >= 2 or key[1] == "page" or (key[2] == 1 and key[1] in ("digits", "roman"))}
         return {k for k, found in readings.items() if kept & set(found)}
 
-    def outer(self) -> list[tuple[int, str]]:
-        """(line, 'top' or 'end') of the outermost lines that are not page numbers."""
+    def outer(self, known: set[int]) -> list[tuple[int, str]]:
+        """(line, 'top' or 'end') of the outermost lines of each page beside ``known`` ones."""
         out = []
         for p, rows in enumerate(self.pages):
-            inner = [k for k in rows if k not in self.numbers]
+            inner = [k for k in rows if k not in known]
             if inner and p > 0:
                 out.append((inner[0], "top"))
             if len(inner) > 1:
@@ -163,36 +210,58 @@ class Layout:
                 names += [last[0], f"{last[0]} et al", " and ".join(last[:2]), " and ".join(last), " ".join(last)]
         return title, [skeleton(n) for n in names]
 
-    def repeated_edges(self) -> dict[int, bool]:
-        """Outermost lines that repeat the title or author names (True), or an outermost line of another page (False)."""
+    def repeated_edges(self) -> tuple[dict[int, bool], set[int]]:
+        """(outermost lines that repeat the title or author names (True), or an outermost line of another page (False); all outermost lines).
+
+        What is found is taken off the page and the lines under it are looked at in turn, so headers may have several lines.
+        """
         title, names = self.front()
-        outer = self.outer()
-        forms = {k: skeleton(re.sub(r"\d", "", self.lines[k])) or skeleton(self.lines[k]) for k, _ in outer}
         out: dict[int, bool] = {}
-        for k, where in outer:
-            line = self.lines[k].strip()
-            for whole in {skeleton(line), skeleton(WITH_NUMBER.sub("", line))}:
-                if self.page[k] > 0 and len(whole) >= 4 and (any(alike(whole, title[: len(whole) + d]) for d in (0, 1, -1)) or any(alike(whole, n) for n in names)):
-                    out[k] = True
-            if k in out:
-                continue
-            if len(forms[k]) >= 4 and any(k != j and self.page[k] != self.page[j] and alike(forms[k], forms[j]) for j, w in outer if w == where):
-                out[k] = False
-        return out
-
-
-def edge_keys(line: str) -> list[str]:
-    """The line with its numbers hidden and letters folded that are easily confused, and with one more word hidden."""
+        edges: set[int] = set()
+        seen: set[int] = set()
+        while True:
+            outer = self.outer(self.numbers | set(out))
+            new = [(k, w) for k, w in outer if k not in seen]
+            if not new:
+                return out, edges
+            edges |= edges or {k for k, _ in outer}
+            seen |= {k for k, _ in new}
+            before = len(out)
+            forms = {k: skeleton(re.sub(r"\d", "", self.lines[k])) or skeleton(self.lines[k]) for k, _ in outer}
+            pages: dict[str, dict[str, set[int]]] = {"top": {}, "end": {}}
+            for k, w in outer:
+                if len(forms[k]) >= 4:
+                    pages[w].setdefault(forms[k], set()).add(self.page[k])
+            repeated = {w: with_partner(p) for w, p in pages.items()}
+            for k, w in new:
+                line = self.lines[k].strip()
+                for whole in {skeleton(line), skeleton(WITH_NUMBER.sub("", line))}:
+                    if self.page[k] > 0 and len(whole) >= 4 and (any(alike(whole, title[: len(whole) + d]) for d in (0, 1, -1)) or any(alike(whole, n) for n in names)):
+                        out[k] = True
+                if k not in out and forms[k] in repeated[w]:
+                    out[k] = False
+            if len(out) == before:
+                return out, edges
+
+
+def edge_keys(line: str) -> list[tuple[int, int]]:
+    """(hash, hidden words) of the line with its numbers hidden and letters folded that are easily confused, and of that with one more word hidden."""
     words = re.sub(r"(?<=[^\W\d][.,])(?=[^\W\d])", " ", line.lower()).split()
-    words = ["#" if sum(map(str.isdigit, w)) * 2 > sum(map(str.isalnum, w)) else skeleton(w) or w for w in words]
-    if not 2 <= len(words) <= 9 or len(line) > 80:
-        return [" ".join(words)] if words and len(line) <= 80 else []
-    masked = [" ".join([*words[:i], re.sub(r"[^\W_]+", "*", words[i], count=1), *words[i + 1 :]]) for i in range(len(words))]
-    return list(dict.fromkeys([" ".join(words), *masked]))
+    if not words:
+        return []
+    pairs = [word_forms(w) for w in words]
+    words = [form for form, _ in pairs]
+    whole = " ".join(words)
+    forms = {whole: whole.count("*")}
+    if 2 <= len(words) <= 9:
+        for i in range(len(words)):
+            form = " ".join([*words[:i], pairs[i][1], *words[i + 1 :]])
+            forms.setdefault(form, form.count("*"))
+    return [(xxhash.xxh64_intdigest(f) - (1 << 63), n) for f, n in forms.items()]
 
 
 def parse_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each line that is not blank or a page mark: document, part, line, text, state.
+    """A row for each line that is not blank or a page mark: document, part, line, text, state and the keys of its forms.
 
     state: 2 page number or title or names, 1 repeated at an edge of this document, 0 at an edge, -1 inside a page.
     """
@@ -200,23 +269,15 @@ def parse_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, part, raw in zip(pdf["doc"], pdf["part"], pdf["raw"]):
             layout = Layout(raw)
-            repeated = layout.repeated_edges()
-            edges = {k for k, _ in layout.outer()}
+            repeated, edges = layout.repeated_edges()
             for k, line in enumerate(layout.lines):
                 if layout.page[k] >= 0 and line.strip():
                     state = 2 if k in layout.numbers or repeated.get(k) else 1 if k in repeated else 0 if k in edges else -1
-                    rows.append((doc, part, k, line, state))
-        yield pd.DataFrame(rows, columns=["doc", "part", "line_no", "line", "state"])
-
-
-def key_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each form of a short line: at how many edges it stands and how often inside pages, added up for the partition."""
-    n: dict[str, list[int]] = {}
-    for pdf in batches:
-        for line, state in zip(pdf["line"], pdf["state"]):
-            for key in edge_keys(line):
-                n.setdefault(key, [0, 0])[state < 0] += 1
-    yield pd.DataFrame([(k, a, b) for k, (a, b) in n.items()], columns=["key", "at_edges", "inside"])
+                    rows.append((doc, part, k, line, state, edge_keys(line)))
+            if len(rows) > 20_000:
+                yield pd.DataFrame(rows, columns=["doc", "part", "line_no", "line", "state", "keys"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["doc", "part", "line_no", "line", "state", "keys"])
 
 
 def variants(word: str) -> list[str]:
@@ -243,8 +304,8 @@ def word_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class PageNoise:
     """The findings over a table of documents, and of sections that repeat their lines.
 
-    documents: doc, raw. sections: doc, part, raw (or None). Attributes: ``lines``, ``corrections`` and ``findings``
-    (doc, line_no, noise_kind, read, true) of documents, ``places`` of section lines.
+    documents: doc, raw. sections: doc, part, raw (or None). Attributes: ``furniture``, ``corrections`` and ``findings``
+    (doc, line_no, noise_kind, read, true) of documents, ``places`` of section lines. What several steps read is written once.
     """
 
     def __init__(self, documents: DataFrame, sections: DataFrame | None, keep):
@@ -254,23 +315,25 @@ class PageNoise:
             docs = docs.unionByName(lone.select("doc", "raw", "part"))
         kind = documents.schema["doc"].dataType.simpleString()
         self.docs, self.sections = docs, sections
-        lines = keep(docs.mapInPandas(parse_documents, f"doc {kind}, part int, line_no int, line string, state int"))
-        keys = (
-            lines.where("length(line) <= 80").select("line", "state").mapInPandas(key_counts, "key string, at_edges long, inside long")
-            .groupBy("key").agg(F.sum("at_edges").alias("at_edges"), F.sum("inside").alias("inside"))
+        docs = spread(docs, "doc", "part")
+        lines = keep(docs.mapInPandas(parse_documents, f"doc {kind}, part int, line_no int, line string, state int, keys array<struct<key:long,hidden:int>>"))
+        # forms of edge lines, and how often these stand at edges and inside pages
+        edge = lines.where("state in (0, 1)").select("doc", "part", "line_no", "line", "state", F.inline("keys"))
+        seen = lines.select((F.col("state") < 0).alias("inside"), F.explode("keys.key").alias("key")).groupBy("key").agg(F.count_if(~F.col("inside")).alias("at_edges"), F.count_if("inside").alias("inside")).where("at_edges > 0")
+        known = edge.join(seen, "key").groupBy("doc", "part", "line_no").agg(
+            F.first("line").alias("line"), F.first("state").alias("state"),
+            F.max((F.col("at_edges") >= 3) & (F.col("inside") * 10 <= F.col("at_edges"))).alias("common"), F.min_by("inside", "hidden").alias("seen_inside"),
         )
-        edge = lines.where("state in (0, 1)").withColumn("key", F.explode(F.pandas_udf(lambda s: s.map(edge_keys), "array<string>")("line")))
-        known = edge.join(keys, "key").groupBy("doc", "part", "line_no").agg(
-            F.max((F.col("at_edges") >= 3) & (F.col("inside") * 10 <= F.col("at_edges"))).alias("common"),
-            F.min_by("inside", F.length(F.regexp_replace("key", r"[^*]", ""))).alias("seen_inside"),
-        )
-        lines = lines.join(known, ["doc", "part", "line_no"], "left")
-        furniture = (F.col("state") == 2) | F.coalesce("common", F.lit(False)) | ((F.col("state") == 1) & (F.coalesce("seen_inside", F.lit(0)) == 0))
-        self.lines = keep(lines.select("doc", "part", "line_no", "line", furniture.alias("furniture")))
-        self.findings = self._findings()
-
-    def _findings(self) -> DataFrame:
-        body = self.lines.where("not furniture")
+        found = known.where("common or (state = 1 and seen_inside = 0)").select("doc", "part", "line_no", "line")
+        self.furniture = keep(found.unionByName(lines.where("state = 2").select("doc", "part", "line_no", "line")))
+        off = self.furniture.groupBy("doc", "part").agg(F.collect_set("line_no").alias("off"))
+        body = lines.select("doc", "part", "line_no", "line").join(off, ["doc", "part"], "left")
+        self.body = keep(self._words_and_breaks(body.where("off is null or not array_contains(off, line_no)").drop("off")))
+        self.findings = self._findings(keep)
+
+    @staticmethod
+    def _words_and_breaks(body: DataFrame) -> DataFrame:
+        """(doc, part, line_no, whole, cut) of text lines: their whole words, and the word that is broken at their end."""
         in_text = W.partitionBy("doc", "part").orderBy("line_no")
         body = body.withColumns({"next": F.lead("line").over(in_text), "next_no": F.lead("line_no").over(in_text), "before": F.lag("line").over(in_text)})
         broken = lambda c: F.col(c).rlike(HYPHEN_END)
@@ -280,20 +343,26 @@ class PageNoise:
         last = F.when(F.col("breaks"), F.size("tokens") - F.when(F.col("line").rlike(r" [-‐‑¬\x{AD}]\s*$"), 2).otherwise(1)).otherwise(F.size("tokens"))
         first = F.when(F.col("continues"), 2).otherwise(1)
         whole = F.slice("tokens", first, F.greatest(F.lit(0), last - first + 1))
-        clean = lambda c: F.regexp_replace(F.lower(c), EDGE_STRIP, "")
-        words = body.select("doc", "part", "line_no", F.explode(whole).alias("token")).select("doc", "part", "line_no", "token", clean(F.col("token")).alias("word")).where("word <> ''")
-        vocabulary = words.groupBy("word").agg(F.count("*").alias("n"))
-
         left = F.regexp_extract(F.regexp_extract("line", BREAK, 1), r"(\S+)$", 1)
         right = F.regexp_extract(F.ltrim("next"), r"^(\S+)", 1)
-        cuts = body.where("breaks").select("doc", "part", "line_no", "next_no", left.alias("left"), right.alias("right"), F.regexp_extract("line", r"([-‐‑¬\x{AD}])\s*$", 1).alias("sign"))
+        cut = F.struct("next_no", left.alias("left"), right.alias("right"), F.regexp_extract("line", r"([-‐‑¬\x{AD}])\s*$", 1).alias("sign"))
+        return body.select("doc", "part", "line_no", whole.alias("whole"), F.when(F.col("breaks"), cut).alias("cut"))
+
+    def _findings(self, keep) -> DataFrame:
+        clean = lambda c: F.regexp_replace(F.lower(c), EDGE_STRIP, "")
+        words = self.body.select("doc", "part", "line_no", F.explode("whole").alias("token")).select("doc", "part", "line_no", "token", clean(F.col("token")).alias("word")).where("word <> ''")
+        # equal tokens are cleaned once
+        tokens = self.body.select(F.explode("whole").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        vocabulary = keep(tokens.select(clean(F.col("token")).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")))
+
+        cuts = self.body.where("cut is not null").select("doc", "part", "line_no", "cut.*")
         cuts = cuts.withColumns({"joined": clean(F.concat("left", "right")), "compound": clean(F.concat_ws("-", "left", "right"))})
         count_of = lambda name: vocabulary.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
         cuts = cuts.join(count_of("joined"), "joined", "left").join(count_of("compound"), "compound", "left").fillna(0, ["n_joined", "n_compound"])
         # neither known: names and numbers keep their hyphen, other words were broken
         unknown = ~F.col("right").rlike(r"^[\p{Lu}\p{N}]") & ~F.col("left").rlike(r"\p{N}$")
         rejoin = F.col("sign").isin("¬", "­") | F.when((F.col("n_joined") == 0) & (F.col("n_compound") == 0), unknown).otherwise(F.col("n_joined") >= F.col("n_compound"))
-        cuts = cuts.withColumn("rejoin", rejoin)
+        cuts = keep(cuts.withColumn("rejoin", rejoin))
 
         # misread: distinct words against the vocabulary, broken words as the joined word
         asked = vocabulary.unionByName(
@@ -302,13 +371,16 @@ class PageNoise:
         made = asked.mapInPandas(word_variants, "word string, n long, digit boolean, variant string")
         made = made.join(vocabulary.select(F.col("word").alias("variant"), F.col("n").alias("n_variant")), "variant")
         likely = (F.col("n_variant") >= 3) & (F.col("n_variant") >= F.col("n") * F.when(F.col("digit"), 3).otherwise(10))
-        self.corrections = made.where(likely).groupBy("word").agg(F.max_by("variant", F.struct("n_variant", "variant")).alias("true"))
+        self.corrections = keep(made.where(likely).groupBy("word").agg(F.max_by("variant", F.struct("n_variant", "variant")).alias("true")))
+        # their number is measured: up to a bound they go to all tasks, beyond it words meet them in a join
+        few = self.corrections.count() <= 200_000
+        corrections = F.broadcast(self.corrections) if few else self.corrections
 
-        wrong = words.join(self.corrections, "word").select("doc", "part", "line_no", F.lit("misread").alias("noise_kind"), F.col("token").alias("read"), "true")
+        wrong = words.join(corrections, "word").select("doc", "part", "line_no", F.lit("misread").alias("noise_kind"), F.col("token").alias("read"), "true")
         split_wrong = (
             cuts.where("n_joined = 0 and n_compound = 0")
             .withColumn("word", F.explode(F.array("joined", "compound")))
-            .join(self.corrections, "word")
+            .join(corrections, "word")
             .select("doc", "part", "line_no", "next_no", "left", "right", "word", "true")
         )
         parts = split_wrong.withColumns({"l": F.lower("left"), "at": F.length("left")})
@@ -320,12 +392,11 @@ class PageNoise:
         ).where("line_no is not null")
         rejoined = F.coalesce("true", F.col("joined"))
         hyphens = (
-            cuts.join(self.corrections.withColumnRenamed("word", "joined"), "joined", "left")
-            .where("rejoin")
+            cuts.where("rejoin").join(corrections.withColumnRenamed("word", "joined"), "joined", "left")
             .select("doc", "part", "line_no", F.lit("hyphen").alias("noise_kind"), F.concat_ws(" ", "left", "right").alias("read"), rejoined.alias("true"))
-        )
-        edges = self.lines.where("furniture").select("doc", "part", "line_no", F.lit("furniture").alias("noise_kind"), F.col("line").alias("read"), F.lit("").alias("true"))
-        return edges.unionByName(hyphens).unionByName(wrong).unionByName(split_rows)
+        )
+        edges = self.furniture.select("doc", "part", "line_no", F.lit("furniture").alias("noise_kind"), F.col("line").alias("read"), F.lit("").alias("true"))
+        return keep(edges.unionByName(hyphens).unionByName(wrong).unionByName(split_rows))
 
     def places(self) -> DataFrame:
         """(doc, part, part_line, line_no): which line of the document each section line repeats."""

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from docloom.llm.common import cut_lineage
 from docloom.llm import contamination as C
 from docloom.llm import entity_match as X
 from docloom.llm import lookalike as L
@@ -18,8 +19,7 @@ from docloom.llm import splitting as S
 from docloom.llm import truncation as U
 
 
-def keep(df):
-    return df.cache()
+keep = cut_lineage
 
 
 # 1 look-alikes
@@ -144,6 +144,32 @@ def test_scan_noise(spark):
     assert empty.all_findings().count() == 0
 
 
+def test_headers_of_two_lines_and_many_pages():
+    rng = random.Random(6)
+    words = [chr(97 + rng.randrange(26)) * 2 + str(k) + chr(97 + rng.randrange(26)) for k in range(400)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(9))
+    pages = [f"[PAGE {p + 1}]\n" + "\n".join(["Annual Report of the Archive", "Volume on Rivers and Lakes", *[line() for _ in range(20)], str(p + 1)]) for p in range(300)]
+    layout = N.Layout("\n".join(pages))
+    repeated, edges = layout.repeated_edges()
+    found = {layout.lines[k] for k in repeated}
+    assert found == {"Annual Report of the Archive", "Volume on Rivers and Lakes"} and len(repeated) == 2 * 299
+    assert len(layout.numbers) == 300
+
+
+def test_alike_forms_are_found_without_comparing_all():
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 60))) for _ in range(150)]
+    forms = {f: {k} for k, f in enumerate(base)}
+    for k, f in enumerate(base[::3]):
+        g = list(f)
+        for _ in range(rng.randint(1, 1 + len(f) // 8)):
+            at = rng.randrange(len(g))
+            g[at : at + 1] = rng.choice([[], ["x"], [g[at], "x"]]) if len(g) > 4 else ["x"]
+        forms.setdefault("".join(g), set()).add(1000 + k)
+    want = {f for f, p in forms.items() if len(p) > 1 or any(N.alike(f, g) and forms[g] != p for g in forms if g != f)}
+    assert N.with_partner(forms) == want
+
+
 def test_misread_word_over_a_line_end_is_repaired(spark):
     known = "The common filter works. A well-known filter is common.\n" * 12
     broken = "[PAGE 1]\nWe used the fi1-\nter, as the cornm-\non one of a wel1-\nknown kind does in all of the cases that were seen."
@@ -242,6 +268,45 @@ def test_alignment(spark):
     assert A.align_sentences(df.limit(0), ["id"], "s", "t", keep=keep).count() == 0
 
 
+def test_alignment_of_long_texts_in_slices(monkeypatch):
+    """A text of 20,000 words: the same links in one slice and in many."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    forms = [(" ".join(f"e{k}{c}" for c in "abcdefghijk").translate(str.maketrans("0123456789", "lmnopqrstu")) + " {}.", " ".join(chr(0xAC00 + 40 * k + 3 * j) * 2 for j in range(9)) + " {}.") for k in range(60)]
+    english, korean = [], []
+    for _ in range(1700):
+        (e, k), n = rng.choice(forms), rng.randint(10, 99_999)
+        english.append(e.format(n))
+        korean.append(k.format(n))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "_source": [" ".join(english), "A b."], "_target": [" ".join(korean), "가 나."]})
+    assert len(" ".join(english).split()) >= 18_000
+    read = next(A.read_pairs(iter([batch])))
+
+    def links():
+        table = None
+        for _ in range(2):
+            (_, s, t), = list(A.blocks(read))[:1]
+            codes, n = A.merged(*zip(A.expected_counts(s, t, table)))
+            a, b = codes // A.BUCKETS, codes % A.BUCKETS
+            sums = np.bincount(a, n), np.bincount(b, n)
+            table = A.Table.of(a, b, n / (sums[0][a] + 1), n / (sums[1][b] + 1))
+        i, j, _ = A.link(s, t, table)
+        return set(zip(i.tolist(), j.tolist()))
+
+    whole = links()
+    monkeypatch.setattr(A, "SLICE_CELLS", 3_000_000)
+    assert links() == whole and len(whole & {(i, i) for i in range(1700)}) > 1650
+
+
+def test_words_are_told_apart():
+    source, target = A.Numbers(True), A.Numbers(False)
+    number = lambda n, w: n[w][0] & 0xFFFFFFFF
+    assert len({number(source, w) for w in ("translation", "transla", "translator")}) == 3 and number(source, "filters") == number(source, "filter")
+    assert number(target, "비교하였습니다") == number(target, "비교하였다") != number(target, "비용") and number(target, "필터를") == number(target, "필터의")
+    assert number(source, "128") == 0 == number(target, "Vome-XL")
+
+
 # 7 packing
 
 
