@@ -193,14 +193,31 @@ def base_id(text: str | None) -> str | None:
     return f"{m[1]}.{m[2]}" if m else None
 
 
-def tokens(title: str | None, names: list) -> tuple[list[int], list[int]]:
-    """Token buckets of the title and of the authors' family names."""
-    letters = title_form(title)[1] if title else ""
+Form = tuple[tuple[str, str, bool], list[tuple[list[str], list[str], str]], int | None, str | None]
+"""Title form, name forms, year and base identifier of a record, as ``compare`` takes them."""
+
+
+def packed_form(title: str | None, names: list, ref: str | None) -> str:
+    """All forms of a record in one text, so that they are made once and not for every pair."""
+    words, letters, cut = title_form(title) if title else ("", "", False)
+    people = [name_form(x) for x in names]
+    # these two separators are blanks, at which names are split, so no name holds them
+    shown = "\x1e".join(f"{' '.join(w)}\x1f{' '.join(i)}\x1f{f}" for w, i, f in people)
+    return "\n".join([words, letters, "1" if cut else "", shown, base_id(ref) or ""])
+
+
+def read_form(text: str, year: int | None) -> Form:
+    words, letters, cut, shown, ref = text.split("\n")
+    people = [tuple(x.split("\x1f")) for x in shown.split("\x1e")] if shown else []
+    return (words, letters, bool(cut)), [(w.split(), i.split(), f) for w, i, f in people], year, ref or None
+
+
+def tokens(letters: str, families: list[str]) -> tuple[list[int], list[int]]:
+    """Token buckets of the title's letters and of the authors' family names."""
     grams = {letters[i : i + 4] for i in range(max(0, len(letters) - 3))}
     t = [zlib.crc32(g.encode()) % BUCKETS for g in grams]
     people: list[int] = []
-    for k, name in enumerate(names):
-        family = name_form(name)[2]
+    for k, family in enumerate(families):
         if family and family not in ("al", "others"):
             marked = f"^{family}$"
             grams = {marked[i : i + 3] for i in range(len(marked) - 2)} | {marked}
@@ -208,21 +225,22 @@ def tokens(title: str | None, names: list) -> tuple[list[int], list[int]]:
     return sorted(t), people
 
 
-def exact_keys(title: str | None, ref: str | None) -> list[int]:
+def exact_keys(letters: str, own_id: str | None) -> list[int]:
     """Bucket of the normalised title and bucket of the base identifier."""
-    letters, own_id = title_form(title)[1] if title else "", base_id(ref)
     return [EXACT * k + zlib.crc32(x.encode()) for k, x in ((1, letters), (2, own_id)) if x]
 
 
 def tokenized(df: DataFrame) -> DataFrame:
-    """``df`` (rid, title, authors, ref) with the columns t and a, its tokens, and exact, its keys."""
+    """``df`` (rid, title, authors, ref) with the columns t and a, its tokens, exact, its keys, and form."""
 
-    @F.pandas_udf("struct<t:array<int>,a:array<int>,exact:array<long>>")
+    @F.pandas_udf("struct<t:array<int>,a:array<int>,exact:array<long>,form:string>")
     def of(titles: pd.Series, authors: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        made = [tokens(t, [] if a is None else [x for x in a if x]) for t, a in zip(titles, authors)]
-        return pd.DataFrame({"t": [m[0] for m in made], "a": [m[1] for m in made], "exact": [exact_keys(t, r) for t, r in zip(titles, refs)]})
+        forms = [packed_form(t, [] if a is None else [x for x in a if x], r) for t, a, r in zip(titles, authors, refs)]
+        read = [read_form(f, None) for f in forms]
+        made = [tokens(title[1], [n[2] for n in names]) for title, names, _, _ in read]
+        return pd.DataFrame({"t": [m[0] for m in made], "a": [m[1] for m in made], "exact": [exact_keys(r[0][1], r[3]) for r in read], "form": forms})
 
-    return df.withColumn("_k", of("title", "authors", "ref")).select("*", "_k.t", "_k.a", "_k.exact").drop("_k")
+    return df.withColumn("_k", of("title", "authors", "ref")).select("*", "_k.t", "_k.a", "_k.exact", "_k.form").drop("_k")
 
 
 def random_walks(records: DataFrame, length: int = 10) -> DataFrame:
@@ -358,24 +376,29 @@ def candidate_pairs(keyed: DataFrame, keep, block_rows: int = 2000) -> DataFrame
     return found.groupBy("ra", "rb").agg(F.max("cos_title").alias("cos_title"), F.max("cos_authors").alias("cos_authors"))
 
 
-def compare(a: tuple, b: tuple) -> tuple[int, float, int, int, bool]:
+def compare(a: Form, b: Form) -> tuple[int, float, int, int, bool]:
     """(title relation, author agreement or -1, years apart or -1, equal identifiers, accepted) of two records.
 
-    A record is (title form, name forms, year, identifier).
+    Of titles that tell of different works the authors are not compared.
     """
     relation = title_relation(a[0], b[0])
-    agree = author_agreement(a[1], b[1])
     apart = -1 if a[2] is None or b[2] is None else abs(a[2] - b[2])
     equal_id = int(a[3] is not None and a[3] == b[3])
+    slip = None
+    if relation == 0:
+        # one long word with two slips, by the same people at the same time
+        x, y = a[0][0].replace(" : ", " ").split(), b[0][0].replace(" : ", " ").split()
+        odd = [(p, q) for p, q in zip(x, y) if p != q] if len(x) == len(y) else []
+        if not (len(odd) == 1 and len(odd[0][0]) >= 8 and 0 <= apart <= 1):
+            return 0, -1.0, apart, equal_id, False
+        slip = odd[0]
+    agree = author_agreement(a[1], b[1])
     if relation == 3:
         ok = agree >= 0.5 if agree is not None else equal_id or 0 <= apart <= 1
     elif relation == 2:
         ok = agree is not None and agree >= 0.75 and (apart <= 2 or equal_id == 1)
     else:
-        # one long word with two slips, by the same people at the same time
-        x, y = a[0][0].replace(" : ", " ").split(), b[0][0].replace(" : ", " ").split()
-        odd = [(p, q) for p, q in zip(x, y) if p != q] if len(x) == len(y) else []
-        ok = len(odd) == 1 and len(odd[0][0]) >= 8 and agree is not None and agree >= 0.75 and 0 <= apart <= 1 and two_slips(*odd[0])
+        ok = agree is not None and agree >= 0.75 and two_slips(*slip)
         relation = 1 if ok else 0
     return relation, -1.0 if agree is None else agree, apart, equal_id, bool(ok)
 
@@ -398,27 +421,28 @@ def match_records(left: DataFrame, right: DataFrame, tables: tuple[int, int] = (
     vectors, weights = train_vectors(records)
     bits = int(np.clip(round(np.log2(max(1, n / BUCKET_ROWS))), 4, 30))
     pairs = candidate_pairs(keep(block_keys(records, vectors, weights, table_counts(tables, bits), bits)), keep)
-    side = lambda name: records.select(F.col("rid").alias(name), F.struct("title", "authors", "year", "ref").alias(f"{name}_record"))
-    both = pairs.join(side("ra"), "ra").join(side("rb"), "rb")
+    side = lambda name: records.select(F.col("rid").alias(name), F.col("form").alias(f"{name}_form"), F.col("year").alias(f"{name}_year"), F.col("ref").alias(f"{name}_ref"), (F.size("authors") > 0).alias(f"{name}_people"))
+    both = pairs.join(side("ra").drop("ra_people"), "ra").join(side("rb").drop("rb_ref"), "rb")
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
 
-        def form(key: int, r: dict) -> tuple:
-            if key not in cache:
+        def form(key: int, text: str, year) -> Form:
+            found = cache.get(key)
+            if found is None:
                 if len(cache) > 100_000:
                     cache.clear()
-                names = [] if r["authors"] is None else [name_form(x) for x in r["authors"] if x]
-                year = None if r["year"] is None or r["year"] != r["year"] else int(r["year"])
-                cache[key] = (title_form(r["title"]), names, year, base_id(r["ref"]))
-            return cache[key]
+                found = cache[key] = read_form(text, None if year is None or year != year else int(year))
+            return found
 
         for pdf in batches:
-            out = []
-            for ra, rb, ct, ca, x, y in zip(pdf["ra"], pdf["rb"], pdf["cos_title"], pdf["cos_authors"], pdf["ra_record"], pdf["rb_record"]):
-                left_form = form(ra, x)
-                out.append((ra, rb, x["ref"], 0.5 * ct + 0.5 * ca if y["authors"] is not None and len(y["authors"]) else ct, *compare(left_form, form(rb, y))))
-            yield pd.DataFrame(out, columns=["ra", "rb", "work", "cosine", "relation", "agree", "apart", "same_id", "ok"])
+            cosine = np.where(pdf["rb_people"].fillna(False).astype(bool), 0.5 * pdf["cos_title"] + 0.5 * pdf["cos_authors"], pdf["cos_title"])
+            out = [
+                compare(form(ra, fa, ya), form(rb, fb, yb))
+                for ra, fa, ya, rb, fb, yb in zip(pdf["ra"].tolist(), pdf["ra_form"], pdf["ra_year"].tolist(), pdf["rb"].tolist(), pdf["rb_form"], pdf["rb_year"].tolist())
+            ]
+            made = pd.DataFrame(out, columns=["relation", "agree", "apart", "same_id", "ok"])
+            yield pd.concat([pdf[["ra", "rb"]].reset_index(drop=True), pdf["ra_ref"].rename("work").reset_index(drop=True), pd.Series(cosine, name="cosine"), made], axis=1)
 
     judged = keep(both.mapInPandas(rerank, "ra long, rb long, work string, cosine double, relation int, agree double, apart int, same_id int, ok boolean"))
     slope, offset = calibrate(judged.orderBy(F.xxhash64("ra", "rb")).limit(sample_pairs).select("cosine", "ok").toPandas())
