@@ -2,7 +2,8 @@
 
 Placeholders: each kind of delimiter has its own grammar. What stands in fenced or inline code, in mathematics or in the
 arguments of a TeX command is masked first, and a placeholder in a sentence that talks about templates, placeholders or
-variables is discounted, as is one that is named by an article or quoted.
+variables is discounted, as is one that is named by an article or quoted, or that stands shortly after words about tutorials
+or placeholders.
 
 Filler and notices: a text is divided into units (lines, sentences, fields of a navigation bar). Each unit is a notice,
 filler, page chrome (headings, navigation, references of an incident) or other text. A record is found if it has a notice
@@ -24,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Nouns that the last word of a placeholder in plain words is.
+NOUNS = "name date title number address company email city url link value author code text amount phone year place topic department position signature".split()
 NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.-][A-Za-z0-9]+)*"
 GRAMMARS = {
-    "double brace": rf"(?<![\\}}_^$]) ?\{{\{{\s*{NAME}\s*\}}\}}",
-    "dollar brace": rf"\$\{{\s*{NAME}\s*\}}",
+    "double brace": rf"(?<![\\}}_^$]) ?\{{\{{\s*{NAME}(?:\s*\|\s*[A-Za-z_]+(?:\([^(){{}}\n]*\)|:[^{{}}|\n]*)?)*\s*\}}\}}",
+    "dollar brace": rf"\$\{{\s*{NAME}(?::-[^{{}}\n]*)?\s*\}}",
     "hash brace": rf"#\{{\s*{NAME}\s*\}}",
     "statement": rf"\{{%-?\s*{NAME}\s*-?%\}}",
     "embedded": rf"<%[=-]?\s*{NAME}\s*-?%>",
@@ -39,6 +42,9 @@ GRAMMARS = {
     "escaped angle": r"&lt;[A-Za-z]+(?:[_ ][A-Za-z]+)*&gt;",
     "double bracket": rf"\[\[\s*{NAME}\s*\]\]",
     "single brace": r"(?<![\\}_^$#{%\w])\{[A-Za-z]+(?:_[A-Za-z]+)*\}(?!\})",
+    "words in brace": rf"(?<![\\}}_^$#{{%\w])\{{(?:[a-z]+ ){{1,3}}(?:{'|'.join(NOUNS)})\}}(?!\}})",
+    "words in bracket": rf"(?<!\w)\[(?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(n.title() for n in NOUNS)})\](?![(\[:])",
+    "percent signs": r"(?<![\w%])%[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)*%(?!\w)",
     "insert": r"\[(?:INSERT|ENTER|ADD|TODO:?|TBD:?) [A-Z0-9 _]+\]",
     "your here": r"\[(?:your|insert|enter|add|type) [a-z0-9 _]+(?: here)?\]",
     "to fill in": r"【[^】\n]{1,40}(?:입력|기입|작성|삽입)】|\[[^\]\n]{1,40}(?:입력|기입|작성|삽입)\]",
@@ -47,6 +53,8 @@ GRAMMARS = {
 GRAMMAR = re.compile("|".join(f"(?:{g})" for g in GRAMMARS.values()))
 SIGNS = ("{", "<%", "%(", "__", "@@", "<<", " HERE>", "<INSERT", "<ENTER", "<YOUR", "&lt;", "[[", "[INSERT", "[ENTER", "[ADD", "[TODO", "[TBD")
 SIGNS += ("[your", "[insert", "[enter", "[add", "[type", "【", "입력]", "기입]", "작성]", "삽입]", "XX_", "ZZ_")
+SIGNS += tuple(f" {n.title()}]" for n in NOUNS)
+PERCENT = re.compile(r"%[A-Z][A-Z0-9_]+%")
 # Element names of HTML, which are no placeholders when escaped.
 TAGS = set("a b i p u em h1 h2 h3 br hr li ol ul td th tr div img sub sup pre code span html head body table title strong script style".split())
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<(code|pre|script|style)\b.*?</\1>", re.S | re.I)
@@ -58,6 +66,10 @@ ABOUT = re.compile(
     re.I,
 )
 
+# What a text says shortly before the placeholders that it explains.
+TUTORIAL = re.compile(r"\btutorial|\bplaceholders?\b|\btemplate (?:syntax|engine|language|variable)|자리표시|템플릿 (?:문법|엔진|변수)", re.I)
+TUTORIAL_REACH = 400
+
 WORDS_NOTICE = (
     r"\b[45]\d\d\b.{0,40}(?:not found|forbidden|gateway|unavailable|error|denied|unauthori[sz]ed|time-?out|too many)|(?:error|status)(?: code)?:? \d{3}\b|"
     r"(?:page|document|article|paper|file|resource|record|text|content|abstract|translation)s?\b.{0,40}(?:could not|cannot|can't|couldn't) be (?:found|rendered|displayed|loaded|shown|opened|retrieved)|"
@@ -162,7 +174,7 @@ def blank(m: re.Match) -> str:
 
 def placeholders(text: str) -> list[str]:
     """The placeholders in ``text`` that stand where a value belongs."""
-    if not any(s in text for s in SIGNS):
+    if not any(s in text for s in SIGNS) and not PERCENT.search(text):
         return []
     masked = CODE.sub(blank, text)
     if "\\" in masked or "$" in masked:
@@ -176,7 +188,7 @@ def placeholders(text: str) -> list[str]:
         hi = min((x for x in (masked.find("\n", m.end()), masked.find(". ", m.end())) if x >= 0), default=len(masked))
         around = masked[lo : m.start()] + " " + masked[m.end() : hi]
         quoted = masked[m.start() - 1 : m.start()] in "\"'“‘«「" and masked[m.end() : m.end() + 1] in "\"'”’»」" and m.start() > 0
-        if quoted or ABOUT.search(around):
+        if quoted or ABOUT.search(around) or TUTORIAL.search(masked, max(0, m.start() - TUTORIAL_REACH), m.start()):
             continue
         out.append(found)
     return out

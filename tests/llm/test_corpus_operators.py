@@ -402,6 +402,8 @@ def test_words():
 def test_residue(spark):
     bad = ["Dear {{name}}, hello.", "Title: ${paper_title}", "x __AUTHOR_LIST__ y", "See [INSERT DATE] there.", "404 Not Found", "Please enable JavaScript to view this paper.", "Lorem ipsum dolor sit amet.", "TBD TBD TBD", "이 페이지를 보려면 자바스크립트를 켜야 합니다.", "<html><head><title>502 Bad Gateway</title></head><body><p>502 Bad Gateway</p></body></html>", "Some words unheard of\nGo back\nCopyright the reading room"]
     good = ["A prompt such as `Use {{text}}` was used.", "```\nrender('{{ x }}')\n```\nText here follows.", "The symbol $\\mathbf{{w}}_{{i}}$ and \\frac{{a}}{{b}} mean much.", 'We saw "404 Not Found" on 12 pages and dropped them, as the crawl was repeated and its pages were compared with the archive by hand.', "Filler in the style of lorem ipsum was used to test the layout. The method was trained on many pages of prose and it worked well for all.", "", None, "A set {a, b} and x_{i} in math.", "The placeholder {{title}} is replaced by the title."]
+    bad += ["Dear {first name}, we met.", "Dear [Recipient Name], we write.", "Hello %USER_NAME%!", "Hi {{ name | default('x') }} there.", "Hi ${name:-World}."]
+    good += ["In this tutorial, we greet people.\nHello {{name}}!", "It grew by 30% and 40%.", "See [Author Name](http://x).", "title = {Deep Learning for Text}"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(bad + good)], "id long, text string, residue_kind int").drop("residue_kind")
     got = {r.id: r.residue_kind for r in R.find_residue(df, "text").collect()}
     assert [t for i, t in enumerate(bad) if got[i] is None] == []
@@ -417,3 +419,17 @@ def test_residue_without_known_words():
 
 def test_frames_without_rows():
     assert len(pd.concat(list(L.count_ngrams(iter([]))))) == 0
+
+
+def test_record_forms_are_packed_without_loss():
+    names = ["Nedain B. Jaiclos", "Smith, J.", "et al.", "李", "A; B, C"]
+    text = X.packed_form("A Two-Pass\nBenchmark: Speech [preprint]", names, "arXiv:2301.00234v2")
+    title, people, year, ref = X.read_form(text, 2020)
+    assert title == X.title_form("A Two-Pass\nBenchmark: Speech [preprint]") and (year, ref) == (2020, "2301.00234")
+    assert people == [X.name_form(n) for n in names]
+    assert X.read_form(X.packed_form(None, [], None), None) == (("", "", False), [], None, None)
+
+
+def test_tables_are_written_in_the_shared_folder(spark):
+    made = keep(spark.range(5))
+    assert made.inputFiles()[0].startswith("file:" + spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) and made.count() == 5
