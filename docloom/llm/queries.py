@@ -35,9 +35,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of a cut for every completed translated text."""
-    rows = table(spark, sf_dir, "translated_chunks").where("status = 'completed'")
-    rows = rows.select("translation_id", "chunk_index", "source_name", "translated_text").distinct()
-    return truncation.score_truncation(rows, ["translation_id", "chunk_index"], "translated_text", "source_name")
+    keys = ["translation_id", "chunk_index"]
+    rows = table(spark, sf_dir, "translated_chunks").where("status = 'completed'").select(*keys, "source_name", "translated_text")
+    return truncation.score_truncation(spread(rows, *keys).distinct(), keys, "translated_text", "source_name", keep=cut_lineage)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ writing their last sentence without its closing stop. A hashed logistic regressi
 form of the last line, open brackets and marks, and the length left to the source's limit is fitted on them, and
 then scores every record.
 
-The fit uses at most ``sample_rows`` records (those with the smallest hash), the documented bound; lengths, limits and
-scores cover all records.
+The fit uses at most ``sample_rows`` records (those with the smallest hash), the documented bound; of these only hashed
+features come to the driver. Lengths, limits and scores cover all records.
 
 Defined results: null and empty texts get no score and are no case; a text of any length is scored from its last
 characters and counts over the whole of it; without a single whole text to learn from, nothing is found; a null source
@@ -133,14 +133,10 @@ class Scorer:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[tuple[str, int, int]], seed: int = 7, epochs: int = 6) -> Scorer:
-    """Logistic regression by AdaGrad over the examples of the given whole values."""
-    rng = random.Random(seed)
-    made = [e for text, c, b in rows for e in examples(text, c, b, rng)]
-    if not made:
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 6) -> Scorer:
+    """Logistic regression by AdaGrad over examples: hashed features of each, and whether it is cut."""
+    if not len(y):
         return Scorer(np.zeros(1 << BITS), -30.0)
-    x = np.array([vector(t, c, b) for t, c, b, _ in made], dtype=np.int32)
-    y = np.array([label for *_, label in made], dtype=np.float64)
     w, bias = np.zeros(1 << BITS), 0.0
     g, gb = np.full(1 << BITS, 1e-6), 1e-6
     order = np.arange(len(y))
@@ -161,20 +157,29 @@ def fit(rows: list[tuple[str, int, int]], seed: int = 7, epochs: int = 6) -> Sco
     return Scorer(w, bias)
 
 
-def score_truncation(df: DataFrame, keys: list[str], text: str, source: str, sample_rows: int = 6000) -> DataFrame:
-    """(keys, source, p_cut) of every record with a non-empty text."""
+def make_examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features and labels of the examples that whole values give; a value's own hash seeds its cuts. Texts stay in their tasks."""
+    for pdf in batches:
+        rows = []
+        for text, seed, chars, octets in zip(pdf["_text"], pdf["_seed"], pdf["_chars_left"], pdf["_bytes_left"]):
+            if is_whole(text):
+                rows += [(seed, k, vector(t, c, b), label) for k, (t, c, b, label) in enumerate(examples(text, chars, octets, random.Random(int(seed))))]
+        yield pd.DataFrame(rows, columns=["seed", "k", "x", "y"])
+
+
+def score_truncation(df: DataFrame, keys: list[str], text: str, source: str, sample_rows: int = 6000, keep=lambda df: df) -> DataFrame:
+    """(keys, source, p_cut) of every record with a non-empty text. ``keep`` should write down a table that is read several times."""
     rows = df.select(*keys, F.col(source).alias("_source"), F.col(text).alias("_text")).where("_text <> ''")
-    rows = rows.withColumns({"_chars": F.length("_text"), "_bytes": F.octet_length("_text")})
+    rows = keep(rows.withColumns({"_chars": F.length("_text"), "_bytes": F.octet_length("_text"), "_seed": F.xxhash64("_text")}))
     limits = rows.groupBy("_source").agg(F.max("_chars").alias("_max_chars"), F.max("_bytes").alias("_max_bytes"))
     limits = limits.withColumnRenamed("_source", "_of")
     rows = rows.join(limits, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     rows = rows.withColumns({"_chars_left": F.col("_max_chars") - F.col("_chars"), "_bytes_left": F.col("_max_bytes") - F.col("_bytes")})
     stop = F.col("_text").rlike(r"[.!?。]$")
-    part = lambda cond: (
-        rows.where(cond).orderBy(F.xxhash64("_text"), "_text").limit(sample_rows // 2).select("_text", "_chars_left", "_bytes_left").collect()
-    )
-    sample = part(stop) + part(~stop & F.regexp_substr("_text", F.lit(r"[^\n]*$")).rlike(r"^\s*[-*•#|>$—\[(\"0-9]"))
-    scorer = fit([(r[0], r[1], r[2]) for r in sample if is_whole(r[0])])
+    part = lambda cond: rows.where(cond).orderBy("_seed", "_text").limit(sample_rows // 2).select("_text", "_seed", "_chars_left", "_bytes_left")
+    sample = part(stop).unionByName(part(~stop & F.regexp_substr("_text", F.lit(r"[^\n]*$")).rlike(r"^\s*[-*•#|>$—\[(\"0-9]")))
+    made = sample.mapInPandas(make_examples, "seed long, k int, x array<int>, y int").toPandas().sort_values(["seed", "k"], kind="stable")
+    scorer = fit(np.array(made["x"].tolist(), dtype=np.int32), made["y"].to_numpy(float))
     shared = df.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
