@@ -64,12 +64,49 @@ def q_progress(spark, d):
     return G.progress(read(spark, d, "events", "user_id", "event_type").withColumnRenamed("event_type", "node"), "user_id")
 
 
+REQUESTS = "(SELECT DISTINCT CAST(paper_doc_id AS VARCHAR) AS request_id, source_path AS request_source, CASE WHEN total_pages IS NULL THEN 'running' WHEN title = 'Unknown' THEN 'failed' ELSE 'completed' END AS status FROM parsed_papers)"
+
+
+def requests(spark, d):
+    rows = read(spark, d, "parsed_papers", "paper_doc_id", "source_path", "total_pages", "title")
+    status = F.when(F.col("total_pages").isNull(), "running").when(F.col("title") == "Unknown", "failed").otherwise("completed")
+    return rows.select(F.col("paper_doc_id").cast("string").alias("request_id"), F.col("source_path").alias("request_source"), status.alias("status")).distinct()
+
+
+@query(f"SELECT request_id, status, status IN ('pending', 'running') AS is_running FROM {REQUESTS} WHERE request_id = (SELECT CAST(min(paper_doc_id) AS VARCHAR) FROM parsed_papers WHERE total_pages IS NULL)")
+def q_request_status(spark, d):
+    asked = spark.read.parquet(f"{d}/parsed_papers.parquet").where("total_pages is null").agg(F.min("paper_doc_id").cast("string")).first()[0]
+    return G.status_of(requests(spark, d), asked)
+
+
+@query(f"SELECT request_id, request_source, status, CASE WHEN request_source LIKE 'http%' THEN 'url' WHEN regexp_matches(translate(request_source, './', ''), '^[0-9]+$') THEN 'arxiv_id' ELSE 'file' END AS source_type, '2025-01-01T00:00:00' AS created_at FROM {REQUESTS}")
+def q_request_rows(spark, d):
+    return G.request_row(requests(spark, d), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT arxiv_id, 'https://arxiv.org/pdf/' || arxiv_id || '.pdf' AS url FROM arxiv_papers")
+def q_pdf_url(spark, d):
+    rows = read(spark, d, "arxiv_papers", "arxiv_id")
+    return rows.select("arxiv_id", T.pdf_url(T.arxiv_id(F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id"))).alias("url"))
+
+
+@query("""WITH r AS (SELECT r_regionkey, list(n_name ORDER BY n_nationkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)
+  SELECT r_regionkey, ['| name |' || chr(10) || '|---|' || chr(10) || array_to_string(list_transform(n, lambda x: '| ' || x || ' |'), chr(10))] AS tables FROM r""")
+def q_markdown_tables(spark, d):
+    """Two tables a row, one of them with a head alone, which is left out."""
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    row = F.struct("n_nationkey", F.array("n_name").alias("cells"))
+    rows = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x.cells).alias("cells"))
+    head = F.array(F.array(F.lit("name")))
+    return rows.select("r_regionkey", T.markdown_tables(F.array(F.concat(head, "cells"), head)).alias("tables"))
+
+
 # Summaries
 
 
 @query(f"""WITH m AS ({TOPK}), n AS (SELECT translation_id, chunk_index, count(*) AS n FROM m GROUP BY 1, 2), c AS (SELECT DISTINCT translation_id, chunk_index FROM chunks),
-  t AS (SELECT translation_id, count(*) AS a, count(n) AS b, coalesce(sum(n), 0) AS s FROM c LEFT JOIN n USING (translation_id, chunk_index) GROUP BY 1), f AS (SELECT translation_id, source_text, min({{'c': chunk_index, 'r': rank}}) AS at FROM m GROUP BY 1, 2),
-  u AS (SELECT translation_id, count(*) AS u, (list(source_text ORDER BY at, source_text))[1:10] AS top FROM f GROUP BY 1)
+  t AS (SELECT translation_id, count(*) AS a, count(n) AS b, coalesce(sum(n), 0) AS s FROM c LEFT JOIN n USING (translation_id, chunk_index) GROUP BY 1), f AS (SELECT translation_id, source_text, min({{'c': chunk_index, 'r': rank}}) AS met FROM m GROUP BY 1, 2),
+  u AS (SELECT translation_id, count(*) AS u, (list(source_text ORDER BY met, source_text))[1:10] AS top FROM f GROUP BY 1)
   SELECT translation_id, CAST(a AS BIGINT) AS total_chunks, CAST(b AS BIGINT) AS chunks_with_terms, CAST(s AS BIGINT) AS total_matches, CAST(coalesce(u, 0) AS BIGINT) AS unique_terms, coalesce(top, []) AS top_terms FROM t LEFT JOIN u USING (translation_id)""")
 def q_matching_summary(spark, d):
     return R.matching_summary(chunk_texts(spark, d), ranked_terms(spark, d), CHUNK, "translation_id")

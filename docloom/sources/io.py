@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +41,30 @@ def write_documents(df: DataFrame, path: str, text: str) -> None:
     df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_named(df: DataFrame, folder: str, name: str, text: str, ending: str = ".md") -> DataFrame:
+    """Write each text to a file of its own in a folder that all executors share; (file_path, filename, md5_hash, content_length) of what was written.
+
+    Nothing is written before an action on the result. A file is written beside its place and moved there, so a task that
+    runs twice leaves whole files.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            out = []
+            for n, t in zip(pdf["_name"], pdf["_text"]):
+                path, data = os.path.join(folder, f"{n}{ending}"), t.encode()
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, path)
+                out.append((path, n, hashlib.md5(data).hexdigest(), len(t)))
+            yield pd.DataFrame(out, columns=["file_path", "filename", "md5_hash", "content_length"])
+
+    rows = df.select(F.col(name).alias("_name"), F.coalesce(text, F.lit("")).alias("_text")).where("_name is not null")
+    return rows.mapInPandas(write, "file_path string, filename string, md5_hash string, content_length long")
+
+
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """A term list from JSON or CSV, by the name's ending, with defaults for columns that are missing."""
     raw = spark.read.json(path, multiLine=True) if path.endswith(".json") else spark.read.csv(path, header=True)

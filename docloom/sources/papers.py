@@ -136,3 +136,17 @@ def display(papers: DataFrame, key: str, title_width: int = 45, author_width: in
     """Rows for a list on screen: shortened titles and authors, a sign for missing values."""
     authors = T.author_line(F.col("authors"))
     return papers.select(F.coalesce(key, F.lit("-")).alias("id"), T.short(F.col("title"), title_width).alias("title"), T.short(authors, author_width).alias("authors"))
+
+
+def check_arguments(source: str, query: str | None = None, trending: bool = False, highly_cited: bool = False, page: int = 1, per_page: int = 10) -> list[str]:
+    """What is wrong with the arguments of a search, in words."""
+    wrong = []
+    if source not in ("arxiv", "semantic-scholar", "s2"):
+        wrong.append(f"unknown source {source}")
+    if sum((bool(query), trending, highly_cited)) == 0:
+        wrong.append("one of query, trending and highly_cited is needed")
+    if page < 1:
+        wrong.append("pages begin with 1")
+    if not 1 <= per_page <= 100:
+        wrong.append("1 to 100 rows a page")
+    return wrong

@@ -74,6 +74,7 @@ def test_papers(spark):
     assert P.retry_wait(0) == 5 and P.retry_wait(2) == 15 and P.retry_wait(0, 30) == 30
     assert P.year_range(2020, None, 2025) == "2020-2025" and P.year_range(None, 2021, 2025) == "-2021" and P.year_range(None, None, 2025) is None
     assert P.query_text("llm", ["cs.CL", "cs.AI"]) == "(llm) AND (cat:cs.CL OR cat:cs.AI)" and P.query_text("", ["cs.CL"]) == "cat:cs.CL"
+    assert P.check_arguments("arxiv", "x") == [] and len(P.check_arguments("web", None, page=0, per_page=101)) == 4
     papers = spark.createDataFrame([("1", "Parsing C++ code", None), ("2", "other", "a.b")], "arxiv_id string, title string, abstract string")
     assert [r.arxiv_id for r in P.search_papers(papers, ["C++"]).collect()] == ["1"] and [r.arxiv_id for r in P.search_papers(papers, ["PARSING"]).collect()] == ["1"]
     assert P.search_papers(papers, ["a?b"]).count() == 0
@@ -151,3 +152,14 @@ def test_tables_and_whole_text_chunks(spark):
     assert {(r.k, r.section_index, tuple(r.tables)) for r in D.first_tables(chunks, tables, ["k"]).collect()} == {(1, 0, ("t",)), (1, 1, ()), (2, 0, ())}
     made = D.whole_chunks(spark.createDataFrame([(1, "a b c d")], "k long, t string"), "k", "t", 3, 1).orderBy("chunk_index").collect()
     assert [(r.content, r.start_char, r.end_char) for r in made] == [("a b c", 0, 5), ("c d", 5, 8)]
+
+
+def test_files_of_their_own(spark, tmp_path):
+    from docloom.sources import io
+
+    df = spark.createDataFrame([("a", "글"), ("b", None), (None, "x")], "n string, t string")
+    rows = {r.filename: r for r in io.write_named(df, str(tmp_path / "out"), "n", "t").collect()}
+    assert (tmp_path / "out" / "a.md").read_text() == "글" and rows["a"].content_length == 1 and set(rows) == {"a", "b"}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.md", "b.md"]
+    again = {(r.path.rsplit("/", 1)[1], r.text) for r in io.read_markdown(spark, str(tmp_path / "out")).collect()}
+    assert ("a.md", "글") in again
