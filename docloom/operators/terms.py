@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions.similarity import best_word
 
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 8 << 20  # of a dictionary that becomes one automaton
+BROADCAST_RUNS = 200_000  # beginnings of terms, of three letters each
 
 
 def match_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame, term: str = "source_text", word_boundary: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -31,8 +32,11 @@ def match_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame,
         both = read_once(rows, t)
     else:
         head = t.where("length(_low) >= 3").withColumn("_gram", F.substring("_low", 1, 3))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - 2), lambda i: F.substring(F.col("_text"), i, F.lit(3))))
+        # all runs of three characters in one pass, as a substring by place reads a text from its beginning
+        grams = F.array_distinct(F.regexp_extract_all("_text", F.lit("(?s)(?=(...))"), F.lit(1)))
         begins = head.select("_gram").distinct()
+        # their number is measured: few are sent to all tasks, so that runs that begin no term are not shuffled
+        begins = F.broadcast(begins) if begins.count() <= BROADCAST_RUNS else begins
         asked = rows.where("length(_text) >= 3").select(*keys, F.explode(grams).alias("_gram")).join(begins, "_gram", "left_semi")
         pairs = asked.join(head, "_gram").drop("_gram").join(rows, keys).where(F.col("_text").contains(F.col("_low")))
         both = pairs.withColumn("match_count", T.occurrences(F.col("_text"), F.col("_low"))).unionByName(read_once(rows, t.where("length(_low) < 3")))
