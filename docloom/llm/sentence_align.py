@@ -374,7 +374,6 @@ def expected_counts(s: Side, t: Side, table: Table | None) -> tuple[np.ndarray,
     w = weight(cells)
     best = np.flatnonzero(w >= 0.5 * greatest(w, cells.t, len(t.length))[cells.t])
     w, i, j = w[best], cells.s[best], cells.t[best]
-    to_target, to_source = (x.only(best, len(cells.s)) for x in (cells.to_target, cells.to_source))
 
     # words with a number, by sentence
     s_words, t_words = s.known, t.known
@@ -388,9 +387,12 @@ def expected_counts(s: Side, t: Side, table: Table | None) -> tuple[np.ndarray,
     column_word = t_words[spans(t_first[j], t_count[j])]
     height = s_count[i][column_pair]
     first_column = np.cumsum(t_count[j]) - t_count[j]
-    known_pair = np.concatenate([to_target.group_cell[to_target.group], to_source.group_cell[to_source.group]])
+    number = np.full(len(cells.s), -1)
+    number[best] = np.arange(len(best))
+    to_target, to_source = cells.to_target, cells.to_source
+    known_pair = number[np.concatenate([to_target.group_cell[to_target.group], to_source.group_cell[to_source.group]])]
     known_s, known_t = np.concatenate([to_target.by, to_source.word]), np.concatenate([to_target.word, to_source.by])
-    known_p = np.concatenate([to_target.both, to_source.both])
+    known_p = np.where(known_pair >= 0, np.concatenate([to_target.both, to_source.both]), 0)
     some = np.flatnonzero(known_p > 0)
     known_column, known_row, known_p = first_column[known_pair[some]] + t_rank[known_t[some]], s_rank[known_s[some]], known_p[some]
 
@@ -406,7 +408,7 @@ def expected_counts(s: Side, t: Side, table: Table | None) -> tuple[np.ndarray,
             inside = (known_column >= columns[0]) & (known_column <= columns[-1])
             start = np.cumsum(h) - h
             prob[start[known_column[inside] - columns[0]] + known_row[inside]] = BACKGROUND + known_p[inside]
-            yield columns, h, prob * np.repeat(w[column_pair[columns]], h)
+            yield columns, h, prob
 
     whole = list(parts()) if height.sum() <= 16_000_000 else None
     total = np.zeros(len(t.number))
@@ -414,16 +416,19 @@ def expected_counts(s: Side, t: Side, table: Table | None) -> tuple[np.ndarray,
         some = h > 0
         if some.any():
             start = (np.cumsum(h) - h)[some]
-            total += np.bincount(column_word[columns[some]], np.add.reduceat(prob, start), minlength=len(total))
+            of = columns[some]
+            total += np.bincount(column_word[of], np.add.reduceat(prob, start) * w[column_pair[of]], minlength=len(total))
     mass = np.minimum(1.0, greatest(w, j, len(t.length)))[t.sentence]
-    scale = mass / np.where(total > 0, total, 1.0)
+    # of each column: the weight of its pair, and what makes the shares of its word add up to its mass
+    scale = w[column_pair] * (mass / np.where(total > 0, total, 1.0))[column_word]
+    local, width = s.local[s_words] * len(t.vocabulary), len(t.vocabulary)
+    column_local = t.local[column_word]
     codes, counts = [], []
     for columns, h, prob in whole or parts():
-        rows = s_words[spans(s_first[i][column_pair[columns]], h)]
-        width = len(t.vocabulary)
-        slots, values = compact(s.local[rows] * width + np.repeat(t.local[column_word[columns]], h), len(s.vocabulary) * width)
+        rows = spans(s_first[i][column_pair[columns]], h)
+        slots, values = compact(local[rows] + np.repeat(column_local[columns], h), len(s.vocabulary) * width)
         codes.append(s.vocabulary[values // width] * BUCKETS + t.vocabulary[values % width])
-        counts.append(np.bincount(slots, prob * np.repeat(scale[column_word[columns]], h), minlength=len(values)))
+        counts.append(np.bincount(slots, prob * np.repeat(scale[columns], h), minlength=len(values)))
     return (np.concatenate(codes), np.concatenate(counts)) if codes else (np.empty(0, dtype=np.int64), np.empty(0))
 
 
