@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,13 +34,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # what the steps shuffled is on the disk no longer than the table needs it; a setting of the session itself stays as it was
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove what finished steps shuffled outside of a table's plan; it waits for the driver's collection otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even out rows over the cluster's cores by a hash of ``keys`` before CPU-heavy Python work."""
     n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

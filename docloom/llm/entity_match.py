@@ -5,10 +5,13 @@ number of buckets, so that the vocabulary has a proven bound. Random walks go fr
 over a shared token to another record and on through its tokens. Skip-gram vectors of the tokens are trained on all walks.
 An attribute's vector is the sum of its tokens' vectors, weighted by rarity and centred.
 
-Blocking: several tables of random hyperplanes over the title's and over the authors' vectors. Longer hashes, as larger
-inputs need them, get so many more tables that a pair shares a bucket as often (``table_counts``). Within a bucket the
-cosines of both attributes are computed in blocks; buckets of any size are cut into a grid of blocks, so none is dropped and none
-grows with its bucket. Records with the same normalised title or the same base identifier always meet, whatever their cosines. The pairs that are left are compared exactly: titles with one slip, cut ends or a part left out,
+Blocking: an accepted pair is alike by the rules below, so it shares a part of its title together with a name, with a half of
+a name, with a second name or with a year where names are missing, or the identifier (``record_keys``). Rows of keys carry
+a sketch of the title's letter sequences; a pair whose second title holds more foreign sequences than two slips can make is
+dropped in the join, so pairs that meet by a common beginning cost neither disk nor comparisons. What a record sends is
+bounded by its names and does not grow with the number of records. (Tables of hyperplanes, ``block_keys`` and
+``candidate_pairs``, are kept for vectors at hand; ``match_records`` does not use them, as the tables that a given recall
+needs grow with the input.) The pairs that are left are compared exactly: titles with one slip, cut ends or a part left out,
 names in any order, initials and slips; words that mark a follow-up part works. Of several works the best stays. The
 confidence is the cosine, calibrated by a logistic fit on a bounded sample of the compared pairs (``sample_pairs``).
 
@@ -18,6 +21,7 @@ hurts except that an equal title then needs a fitting year or identifier; copies
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import spread
+from docloom.llm.common import free_shuffles, spread
 
 BUCKETS = 1 << 13  # of tokens, for each attribute
 DIM = 48
@@ -37,6 +41,9 @@ LIKE_TITLE, LIKE_AUTHORS, LIKE_BOTH = 0.85, 0.4, 0.4
 """Least cosines of a candidate: of the titles alone, or of the authors and of the titles with them."""
 BUCKET_ROWS, BITS = 720, 8  # rows meant for a bucket; the hash length up to which the given numbers of tables are enough
 EXACT = 1 << 60  # keys from here on are of equal titles and identifiers
+BEGINNING, MIDDLE, HALF, SHORT = 16, 12, 24, 34  # letters of keys: ends, what follows the beginning, ends with little else; titles that need shorter ends
+FOREIGN = (10, 10, 10, 5, 5, 5, 10, 10)  # letter sequences that the second title may hold alone, of each kind of keys: what two slips change at most, or one
+SLICE_PAIRS = 2  # pairs for each record that are compared at a time
 SHARED = 4  # strongest directions that are taken out of the vectors
 FOLLOW_UP = re.compile(r"\b(?:revisited|reloaded|reconsidered|continued|part (?:[ivx]+|[1-9]|one|two|three)|(?:a )?(?:second|third|closer|further|new) look(?: at \S+)?|[ivx]{2,4}|follow up|addendum|erratum)\b")
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "tau": "τ", "phi": "φ", "psi": "ψ", "omega": "ω"}
@@ -376,6 +383,120 @@ def candidate_pairs(keyed: DataFrame, keep, block_rows: int = 2000) -> DataFrame
     return found.groupBy("ra", "rb").agg(F.max("cos_title").alias("cos_title"), F.max("cos_authors").alias("cos_authors"))
 
 
+def half_names(name: str) -> set[str]:
+    """Parts of a name; two names that are one slip apart share one."""
+    found = {name} | {name[:i] + name[i + 1 :] for i in range(len(name))} if len(name) <= 5 else set()
+    if 5 <= len(name) <= 7:
+        found |= {f"^{name[:2]}", f"{name[-2:]}$"}
+    if len(name) >= 7:
+        found |= {f"^{name[:3]}", f"{name[-3:]}$"}
+    return found
+
+
+def record_keys(form: Form, side: int, kind: int) -> set[str]:
+    """What a record meets others by: beginnings (0), ends (1) and the middle (2) of its title with a person, beginnings (3) and ends (4)
+    with a half of a person's name, both with that of a name alone (5); two names and the identifier (1); parts of its title with the
+    year where names are missing (6); the beginning of a short title, that may be cut, in two parts with a person (7).
+
+    A left person holds all names of the right one, so of the left side every whole name counts, of the right mostly the likely family name.
+    """
+    (words, letters, _), people, year, ref = form
+    people = [p for p in people if p[0] and p[0] not in (["et", "al"], ["others"], ["and", "others"])]
+    titles = [letters]
+    if side == 0 and " : " in words:
+        titles.append(re.sub(r"[\W_]+", "", words.split(" : ", 1)[1]))
+    middles = lambda moved: {f"m{t[BEGINNING + d : BEGINNING + MIDDLE + d]}" for t in titles for d in moved if len(t) >= BEGINNING + MIDDLE + d}
+    end = lambda n, at: f"{n}<{letters[:n]}" if at == 0 else f"{n}>{letters[-n:]}"
+    # shorter ends where one slip could touch both
+    sizes = [HALF, *(k for k, least, most in ((20, 41, 51), (16, 33, 43), (8, 0, 35)) if least <= len(letters) <= most)]
+    if kind == 6:
+        if year is None:
+            return set()
+        # one side without names meets the other in its own space of keys, and sends the years beside its own and moved middles
+        ends = {end(k, at) for k in sizes for at in (0, 1)}
+        found = {f"{side}{year}{e}" for e in ends | middles((0,))}
+        return found if people else found | {f"{1 - side}{year + d}{e}" for d in (-1, 0, 1) for e in ends | middles(range(-2, 3))}
+
+    def persons(parts) -> Iterator[str]:
+        """Parts of a name with each first letter of the other names; a name alone has none, as the left side's family names too."""
+        for whole, initials, family in people:
+            for name in whole if kind == 1 or (side == 0 and kind in (0, 2, 7)) else [family]:
+                free = [w for w in whole if w != name]
+                others = {w[0] for w in free} | set(initials)
+                if kind == 1:
+                    others |= {f"{w[-1]}$" for w in free}  # where a slip is in the first letter
+                alone = not others or (side == 0 and name == family)
+                with_ = [] if kind == 5 else [*others]
+                if alone and kind not in (3, 4):
+                    with_.append("")
+                yield from (f"{part}.{x}" for x in with_ for part in parts(name))
+
+    if kind == 7:
+        if side == 1 and len(letters) >= BEGINNING + MIDDLE + 2:
+            return set()
+        half = BEGINNING // 2
+        ends = {f"<{t[:half]}" for t in titles} | {f"m{t[half + d : BEGINNING + d]}" for t in titles for d in ((0,) if side == 0 else range(-2, 3)) if len(t) >= BEGINNING + d}
+        return {f"{p}|{e}" for p in persons(lambda name: (name,)) for e in ends}
+    if kind >= 3:
+        ends = [end(k, at) for k in sizes for at in ((kind - 3,) if kind < 5 else (0, 1))]
+        return {f"{p}|{e}" for p in persons(half_names) for e in ends}
+    if kind == 2:
+        ends = middles((0,) if side == 0 else range(-2, 3))  # slips before the middle move it
+    else:
+        ends = {f"<{t[:BEGINNING]}" for t in titles} if kind == 0 else {end(BEGINNING, 1)}
+        if len(letters) <= SHORT:
+            ends.add(end(BEGINNING // 2, kind))
+    found = {f"{p}|{e}" for p in persons(lambda name: (name,)) for e in ends}
+    if kind == 1:
+        families = list(dict.fromkeys(p[2] for p in people if p[2]))
+        pairs = itertools.combinations(sorted(families), 2) if side == 0 else [sorted(families[:2])] if len(families) > 1 else []
+        found |= {f"{x}&{y}" for x, y in pairs}
+        if ref:
+            found.add(f"#{ref}")
+    return found
+
+
+def sketches(t: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of bits of each title's letter sequences."""
+    sizes = np.array([len(x) for x in t], dtype=np.int64)
+    out = np.zeros((2, len(t)), dtype=np.uint64)
+    if sizes.sum():
+        flat, row = np.concatenate(t.to_numpy()).astype(np.uint64), np.repeat(np.arange(len(t)), sizes)
+        for k in (0, 1):
+            some = (flat >> np.uint64(6)) & np.uint64(1) == k
+            np.bitwise_or.at(out[k], row[some], np.uint64(1) << (flat[some] & np.uint64(63)))
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def key_rows(records: DataFrame, side: int, kind: int) -> DataFrame:
+    """(key, rid, s0, s1) of one side's records: hashed keys and the sketch."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [record_keys(read_form(f, None if y is None or y != y else int(y)), side, kind) for f, y in zip(pdf["form"], pdf["year"])]
+            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            flat = np.array(list(itertools.chain.from_iterable(keys)), dtype=object)
+            hashed = pd.util.hash_array(flat, categorize=False).view(np.int64) if len(flat) else np.empty(0, dtype=np.int64)
+            s0, s1 = sketches(pdf["t"])
+            yield pd.DataFrame({"key": hashed, "rid": pdf["rid"].to_numpy()[at], "s0": s0[at], "s1": s1[at]})
+
+    return records.where(F.col("side") == side).select("rid", "year", "t", "form").mapInPandas(make, "key long, rid long, s0 long, s1 long")
+
+
+def key_pairs(records: DataFrame, keep) -> DataFrame:
+    """(ra, rb) of the records that share a key and whose titles can be alike; a kind of keys is shuffled at a time."""
+    found = None
+    for kind, most in enumerate(FOREIGN):
+        a, b = (key_rows(records, side, kind).toDF("key", name, f"{name}0", f"{name}1") for side, name in ((0, "ra"), (1, "rb")))
+        foreign = lambda x, y: sum(F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(f"{y}{k}"))) for k in (0, 1))
+        alike = foreign("rb", "ra") <= most
+        if kind == 6:  # without names only equal titles match, so neither holds more than the other
+            alike &= foreign("ra", "rb") <= most
+        pairs = keep(a.join(b.hint("merge"), "key").where(alike).select("ra", "rb").distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
 def compare(a: Form, b: Form) -> tuple[int, float, int, int, bool]:
     """(title relation, author agreement or -1, years apart or -1, equal identifiers, accepted) of two records.
 
@@ -403,7 +524,7 @@ def compare(a: Form, b: Form) -> tuple[int, float, int, int, bool]:
     return relation, -1.0 if agree is None else agree, apart, equal_id, bool(ok)
 
 
-def match_records(left: DataFrame, right: DataFrame, tables: tuple[int, int] = (12, 8), sample_pairs: int = 20_000, keep=lambda df: df) -> DataFrame:
+def match_records(left: DataFrame, right: DataFrame, sample_pairs: int = 20_000, keep=lambda df: df) -> DataFrame:
     """(left_id, right_id, confidence) of the records that describe the same work.
 
     left: id, work (versions of a work share it), title, authors, year. right: id, title, authors, year, ref (an
@@ -413,38 +534,52 @@ def match_records(left: DataFrame, right: DataFrame, tables: tuple[int, int] = (
     a = left.where("id is not null and title is not null").select("id", F.lit(0).alias("side"), "title", "authors", "year", F.coalesce("work", "id").alias("ref"))
     b = right.where("id is not null and title is not null").select("id", F.lit(1).alias("side"), "title", "authors", "year", "ref")
     # numbers made from the keys stand for them, so that two runs over the same rows make the same walks and blocks
-    records = a.unionByName(b).dropDuplicates(["side", "id"]).withColumn("rid", F.xxhash64("side", "id"))
-    records = keep(tokenized(spread(records, "rid").sortWithinPartitions("rid")))
+    records = spread(a.unionByName(b), "side", "id").dropDuplicates(["side", "id"]).withColumn("rid", F.xxhash64("side", "id"))
+    records = tokenized(records.sortWithinPartitions("rid")).withColumn("people", F.coalesce(F.size("authors") > 0, F.lit(False)))
+    records = keep(records.select("rid", "side", "id", "year", "ref", "people", "t", "a", "form"))
     n = records.count()
     if not n:
         return spark.createDataFrame([], "left_id string, right_id string, confidence double")
-    vectors, weights = train_vectors(records)
-    bits = int(np.clip(round(np.log2(max(1, n / BUCKET_ROWS))), 4, 30))
-    pairs = candidate_pairs(keep(block_keys(records, vectors, weights, table_counts(tables, bits), bits)), keep)
-    side = lambda name: records.select(F.col("rid").alias(name), F.col("form").alias(f"{name}_form"), F.col("year").alias(f"{name}_year"), F.col("ref").alias(f"{name}_ref"), (F.size("authors") > 0).alias(f"{name}_people"))
-    both = pairs.join(side("ra").drop("ra_people"), "ra").join(side("rb").drop("rb_ref"), "rb")
+    shared = spark.sparkContext.broadcast(train_vectors(records))
+    free_shuffles(spark)
+    pairs = keep(key_pairs(records, keep))
+    side = lambda name: records.select(F.col("rid").alias(name), F.col("form").alias(f"{name}_form"), F.col("year").alias(f"{name}_year"), F.col("ref").alias(f"{name}_ref"), F.col("people").alias(f"{name}_people"))
+    slices = 1 + pairs.count() // (SLICE_PAIRS * n)
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
+        vectors, weights = shared.value
+
+        def unit(buckets: list[int]) -> np.ndarray:
+            v = weights[buckets] @ vectors[buckets] if buckets else np.zeros(DIM, dtype=np.float32)
+            return v / max(1e-9, float(np.sqrt(v @ v)))
 
-        def form(key: int, text: str, year) -> Form:
+        def form(key: int, text: str, year) -> tuple[Form, np.ndarray, np.ndarray]:
             found = cache.get(key)
             if found is None:
-                if len(cache) > 100_000:
+                if len(cache) > 50_000:
                     cache.clear()
-                found = cache[key] = read_form(text, None if year is None or year != year else int(year))
+                read = read_form(text, None if year is None or year != year else int(year))
+                t, people = tokens(read[0][1], [p[2] for p in read[1]])
+                found = cache[key] = read, unit(t), unit(people)
             return found
 
         for pdf in batches:
-            cosine = np.where(pdf["rb_people"].fillna(False).astype(bool), 0.5 * pdf["cos_title"] + 0.5 * pdf["cos_authors"], pdf["cos_title"])
-            out = [
-                compare(form(ra, fa, ya), form(rb, fb, yb))
-                for ra, fa, ya, rb, fb, yb in zip(pdf["ra"].tolist(), pdf["ra_form"], pdf["ra_year"].tolist(), pdf["rb"].tolist(), pdf["rb_form"], pdf["rb_year"].tolist())
-            ]
-            made = pd.DataFrame(out, columns=["relation", "agree", "apart", "same_id", "ok"])
-            yield pd.concat([pdf[["ra", "rb"]].reset_index(drop=True), pdf["ra_ref"].rename("work").reset_index(drop=True), pd.Series(cosine, name="cosine"), made], axis=1)
-
-    judged = keep(both.mapInPandas(rerank, "ra long, rb long, work string, cosine double, relation int, agree double, apart int, same_id int, ok boolean"))
+            out = []
+            for ra, fa, ya, rb, fb, yb, people in zip(pdf["ra"].tolist(), pdf["ra_form"], pdf["ra_year"].tolist(), pdf["rb"].tolist(), pdf["rb_form"], pdf["rb_year"].tolist(), pdf["rb_people"].tolist()):
+                x, y = form(ra, fa, ya), form(rb, fb, yb)
+                title = float(x[1] @ y[1])
+                out.append((0.5 * title + 0.5 * float(x[2] @ y[2]) if people else title, *compare(x[0], y[0])))
+            made = pd.DataFrame(out, columns=["cosine", "relation", "agree", "apart", "same_id", "ok"])
+            yield pd.concat([pdf[["ra", "rb"]].reset_index(drop=True), pdf["ra_ref"].rename("work").reset_index(drop=True), made], axis=1)
+
+    # the forms of so many pairs are on the disk at a time; all pairs are compared
+    judged = None
+    for k in range(slices):
+        some = pairs.where(F.pmod(F.xxhash64("rb", F.lit(29)), F.lit(slices)) == k)
+        both = some.join(side("ra").drop("ra_people"), "ra").join(side("rb").drop("rb_ref"), "rb")
+        part = keep(both.mapInPandas(rerank, "ra long, rb long, work string, cosine double, relation int, agree double, apart int, same_id int, ok boolean"))
+        judged = part if judged is None else judged.unionByName(part)
     slope, offset = calibrate(judged.orderBy(F.xxhash64("ra", "rb")).limit(sample_pairs).select("cosine", "ok").toPandas())
     # of the works that fit a record of the right side only the best stays
     rank = F.struct("relation", "agree", "same_id", (-F.when(F.col("apart") < 0, 1).otherwise(F.col("apart"))).alias("near"), "cosine", "work")

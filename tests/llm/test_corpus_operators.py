@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -433,3 +434,46 @@ def test_record_forms_are_packed_without_loss():
 def test_tables_are_written_in_the_shared_folder(spark):
     made = keep(spark.range(5))
     assert spark.conf.get("spark.checkpoint.dir").removeprefix("file:") in made.inputFiles()[0] and made.count() == 5
+
+
+def test_accepted_pairs_share_a_key():
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+
+    def slip(w: str) -> str:
+        i = rng.randrange(1, len(w) - 1)
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :]])
+
+    kinds = range(len(X.FOREIGN))
+    sketch = lambda form: X.sketches(pd.Series([X.tokens(form[0][1], [])[0]]))
+    seen = 0
+    for _ in range(600):
+        words = [word(rng.randint(2, 4)) for _ in range(rng.randint(4, 9))]
+        names = [(word(2), word(rng.randint(2, 4))) for _ in range(rng.randint(1, 4))]
+        k, how = rng.randrange(len(words)), rng.randrange(5)
+        other = [slip(w) if i == k and how else w for i, w in enumerate(words)]
+        title = " ".join(other) if how != 2 else " ".join(other)[: -rng.randint(1, 5)] + "..."
+        people = [f"{a[0]}. {slip(b) if how in (3, 4) else b}" for a, b in names] if how != 1 else []
+        a = X.read_form(X.packed_form(" ".join(words), [" ".join(n) for n in names], None), 2020)
+        b = X.read_form(X.packed_form(title, people, None), 2021)
+        if not X.compare(a, b)[4] or (how == 2 and k == len(words) - 1):
+            continue
+        seen += 1
+        met = [m for m in kinds if X.record_keys(a, 0, m) & X.record_keys(b, 1, m)]
+        foreign = sum(int(y[0] & ~x[0]).bit_count() if y[0] & ~x[0] >= 0 else (int(y[0] & ~x[0]) + (1 << 64)).bit_count() for x, y in zip(sketch(a), sketch(b)))
+        assert met and foreign <= max(X.FOREIGN[m] for m in met), (a, b)
+    assert seen > 400
+
+
+def test_what_a_table_shuffled_is_not_left_on_the_disk(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(filter(lambda x: "shuffle_" in x, manager.getAllFiles().mkString("\n").split("\n")))
+    before = files()
+    made = cut_lineage(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(r["count"] for r in made.collect()) == [142] * 1 + [143] * 6
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
