@@ -234,15 +234,19 @@ def matches(a: Side, of_a: np.ndarray, b: Side, of_b: np.ndarray, rows: tuple[np
     if rows is None:
         return at_a, at_b, p, np.zeros_like(p)
     starts, counts, other, prob, both = rows
-    known = of_a[a.number[of_a] > 0]
-    n = counts[a.number[known]]
-    entry, word = spans(starts[a.number[known]], n), np.repeat(known, n)
-    # only what occurs in these documents at all
+    # only what occurs in these documents at all; looked up once for each word of the vocabulary
     local = np.full(BUCKETS, -1)
     local[b.vocabulary] = np.arange(len(b.vocabulary))
+    n = counts[a.vocabulary]
+    entry, owner = spans(starts[a.vocabulary], n), np.repeat(np.arange(len(a.vocabulary)), n)
     asked = local[other[entry]]
-    some = np.flatnonzero(asked >= 0)
-    entry, word, asked = entry[some], word[some], asked[some]
+    some = asked >= 0
+    entry, asked, n = entry[some], asked[some], np.bincount(owner[some], minlength=len(a.vocabulary))
+    known = of_a[a.number[of_a] > 0]
+    own = a.local[known]
+    first, n = (np.cumsum(n) - n)[own], n[own]
+    of, word = spans(first, n), np.repeat(known, n)
+    entry, asked = entry[of], asked[of]
     named = of_b[b.number[of_b] > 0]
     width = len(b.vocabulary)
     places = Places(named, b.where[named] * width + b.local[named], len(b.n_sentences) * width)
@@ -505,6 +509,7 @@ def link(s: Side, t: Side, table: Table) -> tuple[np.ndarray, np.ndarray, np.nda
     linked_s, linked_t = np.zeros(len(s.length), dtype=bool), np.zeros(len(t.length), dtype=bool)
     taken = np.zeros(len(i), dtype=bool)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    unlinked = [(forth, free_t, 1.0 - forth.sums()), (back, free_s, 1.0 - back.sums())]
     while True:
         some = linked_s[i] | linked_t[j]
         able = ~taken & (gain >= np.where(some, AGAIN, ACCEPT)) & ~(linked_s[i] & linked_t[j])
@@ -520,9 +525,9 @@ def link(s: Side, t: Side, table: Table) -> tuple[np.ndarray, np.ndarray, np.nda
         out.append((i[now], j[now], gain[now]))
         taken |= now
         linked_s[i[now]] = linked_t[j[now]] = True
-        for side, free in ((forth, free_t), (back, free_s)):
+        for side, free, rest in unlinked:
             hit = now[side.group_cell]
-            free[side.group_word[hit]] *= 1.0 - side.sums()[hit]
+            free[side.group_word[hit]] *= rest[hit]
         # the gain in words that no accepted link explains, of at least a third of either sentence
         left = lambda side, by, free: np.bincount(side.group_cell, side.sums(by) * free[side.group_word], minlength=len(i))
         left_s, left_t = np.bincount(s.sentence, free_s, minlength=len(s.length)), np.bincount(t.sentence, free_t, minlength=len(t.length))

@@ -300,6 +300,24 @@ def test_alignment_of_long_texts_in_slices(monkeypatch):
     assert links() == whole and len(whole & {(i, i) for i in range(1700)}) > 1650
 
 
+def test_table_entries_are_looked_up_once_a_word(monkeypatch):
+    # 20 table entries of each of 3 words that come 200 times; the other text holds one of the entries
+    one = np.array([1])
+    numbers = np.tile([5, 6, 7], 200)
+    s = A.Side(numbers | np.arange(600) << 32, np.array([600]), one, np.array([601]))
+    t = A.Side(np.array([40 | 600 << 32]), one, one, np.array([601]))
+    own, other = np.repeat([5, 6, 7], 20), np.tile(np.arange(40, 60), 3)
+    p = np.linspace(0.1, 0.9, 60)
+    rows = A.Table.of(own, other, p, p).forth
+    made = []
+    spans = A.spans
+    monkeypatch.setattr(A, "spans", lambda starts, counts: made.append(int(counts.sum())) or spans(starts, counts))
+    at, word, prob, _ = A.matches(s, np.arange(600), t, np.array([0]), rows)
+    assert at.tolist() == list(range(600)) and not word.any()
+    assert np.allclose(prob, np.tile(p[other == 40], 200))
+    assert max(made) <= 600, "entries that no text holds were repeated for every word"
+
+
 def test_words_are_told_apart():
     source, target = A.Numbers(True), A.Numbers(False)
     number = lambda n, w: n[w][0] & 0xFFFFFFFF
