@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from itertools import chain
 
 import numpy as np
@@ -93,24 +93,68 @@ class Numbers(dict):
         return found
 
 
-def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+class Tokens(dict):
+    """The numbers of what stands between two blanks in some texts: its words, and whether it closes a sentence."""
+
+    def __init__(self, numbers: Numbers):
+        super().__init__()
+        self.numbers = numbers
+        self.words: list[list[int]] = [[]]
+        self.closes = [2]  # number 0 is the end of a line; 1 closes a sentence with a number, 2 one without
+
+    def __missing__(self, token: str) -> int:
+        found = self[token] = len(self.words)
+        self.words.append(self.numbers[token])
+        self.closes.append(0 if token[-1] not in ".!?" else 2 if token.endswith("...") else 1)
+        return found
+
+
+def packed(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Some numbers of each row as bytes, which Spark hands on as they are."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * flat.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, offset of each row) of packed rows."""
+    _, offsets, flat = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(offsets, dtype=wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if flat is None or not len(column):
+        return np.empty(0, dtype=kind), np.zeros(len(column) + 1, dtype=np.int64)
+    flat = np.frombuffer(flat, dtype=np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return flat, (offsets - offsets[0]) // flat.itemsize
 
 
 def read_texts(texts: pa.Array, numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(packed words, words of each sentence, words of each text, sentences of each text)."""
-    words: list[int] = []
-    lengths: list[int] = []
-    word_sizes, sentence_sizes = [], []
+    """(packed words, words of each sentence, words of each text, sentences of each text); sentences are those of ``pieces``."""
+    tokens = Tokens(numbers)
+    number_of = tokens.__getitem__
+    found: list[int] = []
+    sizes = []
     for text in texts.to_pylist():
-        before, sentences = len(words), len(lengths)
-        for piece in pieces(text or ""):
-            start = len(words)
-            words.extend(chain.from_iterable(map(numbers.__getitem__, piece.split())))
-            lengths.append(len(words) - start)
-        word_sizes.append(len(words) - before)
-        sentence_sizes.append(len(lengths) - sentences)
-    return np.array(words, dtype=np.int64), np.array(lengths, dtype=np.int32), np.array(word_sizes, dtype=np.int64), np.array(sentence_sizes, dtype=np.int64)
+        before = len(found)
+        for line in (text or "").split("\n"):
+            found.extend(map(number_of, line.split()))
+            found.append(0)
+        sizes.append(len(found) - before)
+    n_words = np.fromiter(map(len, tokens.words), np.int64, len(tokens.words))
+    flat = np.fromiter(chain.from_iterable(tokens.words), np.int64, int(n_words.sum()))
+    token = np.array(found, dtype=np.int64)
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    closes = np.array(tokens.closes, dtype=np.int8)[token]
+    ends = np.flatnonzero(closes)
+    numbered = closes[ends] == 1
+    # of each token: the sentence without a number that it is in goes out
+    token = token[np.repeat(numbered, np.diff(ends, prepend=-1))]
+    n = n_words[token]
+    words = flat[spans((np.cumsum(n_words) - n_words)[token], n)]
+    before = np.concatenate([[0], np.cumsum(n)])
+    last = np.flatnonzero(np.array(tokens.closes, dtype=np.int8)[token] == 1) + 1
+    lengths = np.diff(before[last], prepend=0)
+    text_of = text_of[ends[numbered]]
+    n_texts = len(sizes)
+    return words, lengths.astype(np.int32), np.bincount(text_of, lengths, minlength=n_texts).astype(np.int64), np.bincount(text_of, minlength=n_texts)
 
 
 def read_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +170,7 @@ def read_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = (own - (np.cumsum(distinct) - distinct)[docs]) << 32 | (words & 0xFFFFFFFF)
         columns = [batch.column(k) for k in keys] + [pa.array(distinct.astype(np.int32))]
         for flat, side in zip(np.split(words, [len(sides[0][0])]), sides):
-            columns += [lists(flat, side[2]), lists(side[1], side[3])]
+            columns += [packed(flat, side[2]), packed(side[1], side[3])]
         yield pa.RecordBatch.from_arrays(columns, names=[*keys, *READ])
 
 
@@ -149,6 +193,21 @@ def compact(index: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     return slots, values
 
 
+def totals(index: np.ndarray, weights: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, sum of its weights) of the distinct values below ``total``, in order; weights are above 0."""
+    if total <= 8 * len(index) + 10_000:
+        sums = np.bincount(index, weights, minlength=total)
+        values = np.flatnonzero(sums > 0)
+        return values, sums[values]
+    slots, values = compact(index, total)
+    return values, np.bincount(slots, weights, minlength=len(values))
+
+
+def ordered(values: np.ndarray) -> np.ndarray:
+    """The order of values from 0; equal ones stay in theirs."""
+    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+
+
 class Places:
     """Where each of some codes below ``total`` occurs."""
 
@@ -170,6 +229,20 @@ class Places:
         return lo, np.searchsorted(self.sorted, codes, "right") - lo
 
 
+@dataclass
+class Items:
+    """What the words of some documents stand for, each once a document."""
+
+    own: np.ndarray
+    number: np.ndarray
+    local: np.ndarray
+    where: np.ndarray
+    often: np.ndarray  # by ``own``
+    vocabulary: np.ndarray
+    n_own: int
+    n_sentences: np.ndarray
+
+
 class Side:
     """All words of one language of some documents: what they stand for, their numbers, sentences and documents."""
 
@@ -191,6 +264,15 @@ class Side:
         seen[self.number] = True
         self.vocabulary = np.flatnonzero(seen)
         self.local = (np.cumsum(seen) - 1)[self.number]
+        # equal words of a document are one item
+        self.item, values = compact(2 * self.own + (self.number > 0), 2 * self.n_own)
+        each = np.zeros((3, len(values)), dtype=np.int64)
+        for to, of in zip(each, (self.number, self.local, self.where)):
+            to[self.item] = of
+        self.items = Items(values >> 1, *each, self.often, self.vocabulary, self.n_own, self.n_sentences)
+        # of each document
+        self.n_items, self.n_words = np.bincount(each[2], minlength=len(sentences)), np.bincount(self.where, minlength=len(sentences))
+        self.first_item, self.first_word = np.cumsum(self.n_items) - self.n_items, np.cumsum(self.n_words) - self.n_words
 
     def words_of(self, sentences: np.ndarray) -> np.ndarray:
         return spans(self.start[sentences], self.length[sentences])
@@ -198,29 +280,51 @@ class Side:
 
 @dataclass
 class Table:
-    """Entries of the translation table, by source word and by target word."""
+    """Entries of the translation table, by source word: what is kept of either way."""
 
-    forth: tuple[np.ndarray, ...]
-    back: tuple[np.ndarray, ...]
+    forth: tuple[np.ndarray, ...]  # (first entry and number of entries of each source word; target word, its probability)
+    back: np.ndarray  # probability of the source word
+    both: np.ndarray  # probability for the next counts
+    code: np.ndarray
 
     @classmethod
     def of(cls, s: np.ndarray, t: np.ndarray, forth: np.ndarray, back: np.ndarray) -> Table:
-        both = np.sqrt(forth * back).astype(np.float32)
-
-        def rows(own: np.ndarray, other: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
-            kept = np.flatnonzero(p >= LEAST)
-            kept = kept[np.lexsort((other[kept], own[kept]))]
-            counts = np.bincount(own[kept], minlength=BUCKETS)
-            return np.cumsum(counts) - counts, counts, other[kept], p[kept].astype(np.float32), both[kept]
-
-        return cls(rows(s, t, forth), rows(t, s, back))
+        kept = np.flatnonzero((forth >= LEAST) | (back >= LEAST))
+        kept = kept[np.lexsort((t[kept], s[kept]))]
+        s, t, forth, back = s[kept], t[kept], forth[kept], back[kept]
+        counts = np.bincount(s, minlength=BUCKETS)
+        least = lambda p: np.where(p >= LEAST, p, 0.0).astype(np.float32)
+        return cls((np.cumsum(counts) - counts, counts, t, least(forth)), least(back), np.sqrt(forth * back).astype(np.float32), s * BUCKETS + t)
+
+
+def documents(side: Side | Items, words: np.ndarray) -> np.ndarray:
+    """A bit for each document that holds a word, by word of the vocabulary."""
+    holds = np.zeros((len(side.vocabulary), len(side.n_sentences)), dtype=bool)
+    holds[side.local[words], side.where[words]] = True
+    return np.packbits(holds, axis=1)
+
+
+def common(in_a: np.ndarray, a: np.ndarray, in_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the pair, document) of the documents that hold both words of pairs of words."""
+    width = in_a.shape[1]
+    step = max(1, 16_000_000 // max(1, width))
+    pairs, docs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for first in range(0, len(a), step):
+        bits = (in_a[a[first : first + step]] & in_b[b[first : first + step]]).ravel()
+        some = np.flatnonzero(bits != 0)
+        bit = np.flatnonzero(np.unpackbits(bits[some]).view(bool))
+        pair = some // width
+        at = bit >> 3
+        pairs.append((pair + first)[at])
+        docs.append(bit + ((some - pair * width - np.arange(len(some))) * 8)[at])
+    return np.concatenate(pairs), np.concatenate(docs)
 
 
 Matches = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def matches(a: Side, of_a: np.ndarray, b: Side, of_b: np.ndarray, rows: tuple[np.ndarray, ...] | None) -> Matches:
-    """(word of a, word of b, probability, probability for the next counts) of the words that explain each other.
+def matches(a: Side | Items, of_a: np.ndarray, b: Side | Items, of_b: np.ndarray, rows: tuple[np.ndarray, ...] | None) -> Matches:
+    """(word of a, word of b, probability, entry of the table or -1) of the words that explain each other, by word of a.
 
     Equal figures, names and words explain each other, the less the more often they occur in the document.
     """
@@ -232,123 +336,155 @@ def matches(a: Side, of_a: np.ndarray, b: Side, of_b: np.ndarray, rows: tuple[np
     n = n[hit]
     at_a, at_b, p = np.repeat(of_a[hit], n), equal.order[spans(start[hit], n)], np.repeat(share[hit], n).astype(np.float32)
     if rows is None:
-        return at_a, at_b, p, np.zeros_like(p)
-    starts, counts, other, prob, both = rows
+        return at_a, at_b, p, np.full(len(p), -1)
+    starts, counts, other, prob = rows
     # only what occurs in these documents at all; looked up once for each word of the vocabulary
     local = np.full(BUCKETS, -1)
     local[b.vocabulary] = np.arange(len(b.vocabulary))
     n = counts[a.vocabulary]
     entry, owner = spans(starts[a.vocabulary], n), np.repeat(np.arange(len(a.vocabulary)), n)
     asked = local[other[entry]]
-    some = asked >= 0
-    entry, asked, n = entry[some], asked[some], np.bincount(owner[some], minlength=len(a.vocabulary))
-    known = of_a[a.number[of_a] > 0]
-    own = a.local[known]
-    first, n = (np.cumsum(n) - n)[own], n[own]
-    of, word = spans(first, n), np.repeat(known, n)
-    entry, asked = entry[of], asked[of]
-    named = of_b[b.number[of_b] > 0]
-    width = len(b.vocabulary)
-    places = Places(named, b.where[named] * width + b.local[named], len(b.n_sentences) * width)
-    start, n = places.find(a.where[word] * width + asked)
-    hit = np.flatnonzero(n)
-    n = n[hit]
-    found = np.repeat(word[hit], n), places.order[spans(start[hit], n)], np.repeat(prob[entry[hit]], n), np.repeat(both[entry[hit]], n)
-    return np.concatenate([at_a, found[0]]), np.concatenate([at_b, found[1]]), np.concatenate([p, found[2]]), np.concatenate([np.zeros_like(p), found[3]])
+    some = np.flatnonzero(asked >= 0)
+    entry, owner, asked = entry[some], owner[some], asked[some]
+    n_docs = len(b.n_sentences)
+    known, named = of_a[a.number[of_a] > 0], of_b[b.number[of_b] > 0]
+    of, doc = common(documents(a, known), owner, documents(b, named), asked)
+    here, there = (Places(k, x.local[k] * n_docs + x.where[k], len(x.vocabulary) * n_docs) for x, k in ((a, known), (b, named)))
+    start, n = here.find(owner[of] * n_docs + doc)
+    word, of, doc = here.order[spans(start, n)], np.repeat(of, n), np.repeat(doc, n)
+    start, n = there.find(asked[of] * n_docs + doc)
+    entry = entry[np.repeat(of, n)]
+    found = np.repeat(word, n), there.order[spans(start, n)], prob[entry], entry
+    at_a = np.concatenate([at_a, found[0]])
+    by_word = ordered(at_a)
+    return at_a[by_word], *(np.concatenate(x)[by_word] for x in zip((at_b, p, np.full(len(p), -1)), found[1:]))
 
 
 @dataclass
-class Explained:
-    """One way: entries (word that explains, explained word, group, probability, next) and groups (cell, explained word)."""
+class Lists:
+    """The items that each item of one side explains (``own`` is in order), with their probability and that for the next counts."""
 
-    by: np.ndarray
-    word: np.ndarray
-    group: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+    other: np.ndarray
     p: np.ndarray
-    both: np.ndarray
-    group_cell: np.ndarray
-    group_word: np.ndarray
+    both: np.ndarray | None
+
+    @classmethod
+    def of(cls, own: np.ndarray, other: np.ndarray, p: np.ndarray, both: np.ndarray | None, total: int) -> Lists:
+        counts = np.bincount(own, minlength=total)
+        return cls(np.cumsum(counts) - counts, counts, other, p, both)
+
 
-    def sums(self, share: np.ndarray | None = None) -> np.ndarray:
-        """How much each group's word is explained, by words that count with ``share``."""
-        return np.minimum(1.0, np.bincount(self.group, self.p if share is None else self.p * share[self.by], minlength=len(self.group_cell)))
+def item_lists(s: Side, t: Side, table: Table | None) -> tuple[Lists, Lists]:
+    """What items explain each other in their documents, by source item and by target item."""
+    n, m = len(s.items.own), len(t.items.own)
+    a, b, forth, entry = matches(s.items, np.arange(n), t.items, np.arange(m), table and table.forth)
+    back, both = forth, np.zeros_like(forth)
+    if table and len(table.code):
+        # an entry -1 takes the value that is put last
+        back, both = np.append(table.back, np.float32(0))[entry], np.append(table.both, np.float32(0))[entry]
+        equal = np.flatnonzero(entry < 0)
+        back[equal] = forth[equal]
+    by_target = ordered(b)
+    return Lists.of(a, b, forth, both, n), Lists.of(b[by_target], a[by_target], back[by_target], None, m)
 
-    def only(self, cells: np.ndarray, n: int) -> Explained:
-        """The entries of some cells, which are numbered anew."""
-        new = np.full(n, -1)
-        new[cells] = np.arange(len(cells))
-        stay = new[self.group_cell] >= 0
-        entries = np.flatnonzero(stay[self.group])
-        number = np.cumsum(stay) - 1
-        return Explained(self.by[entries], self.word[entries], number[self.group[entries]], self.p[entries], self.both[entries], new[self.group_cell[stay]], self.group_word[stay])
 
+class Rows:
+    """How much some sentences explain of every item of the other side of their documents; a row is a sentence.
+
+    Words count with ``weight``; of the other side only the items ``asked`` for have a column.
+    """
 
-def join_explained(parts: list[Explained], cells: list[int]) -> Explained:
-    groups = np.cumsum([0, *(len(x.group_cell) for x in parts)])
-    before = np.cumsum([0, *cells])
-    cat = lambda name, add=None: np.concatenate([getattr(x, name) + (0 if add is None else add[k]) for k, x in enumerate(parts)])
-    return Explained(cat("by"), cat("word"), cat("group", groups), cat("p"), cat("both"), cat("group_cell", before), cat("group_word"))
+    def __init__(self, a: Side, sentences: np.ndarray, b: Side, lists: Lists, weight: np.ndarray | None = None, asked: np.ndarray | None = None):
+        self.item, first, width = b.item, b.first_item, b.n_items
+        if asked is not None:
+            column = np.cumsum(asked) - 1
+            self.item, width = column[b.item], np.bincount(b.items.where[asked], minlength=len(width))
+            first = np.cumsum(width) - width
+        doc = a.doc[sentences]
+        end = np.cumsum(width[doc])
+        self.shift = end - width[doc] - first[doc]  # of each row, to what its columns are added
+        words = a.words_of(sentences)
+        item = a.item[words]
+        n = lists.counts[item]
+        entry = spans(lists.starts[item], n)
+        at, shift = lists.other[entry], np.repeat(np.repeat(self.shift, a.length[sentences]), n)
+        share = None if weight is None else np.repeat(weight[words], n)
+        if asked is not None:
+            some = np.flatnonzero(asked[at])
+            entry, at, shift = entry[some], column[at[some]], shift[some]
+            share = None if share is None else share[some]
+        self.entry, self.cell, self.share, self.size = entry, at + shift, share, int(end[-1]) if len(end) else 0
+        self.sum(lists.p)
+
+    def sum(self, p: np.ndarray) -> None:
+        share = p[self.entry] if self.share is None else p[self.entry] * self.share
+        self.sums = np.bincount(self.cell, share, minlength=self.size)
+
+    def at(self, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """How much a row explains of some words of the other side: row and word, pair by pair."""
+        return self.sums[self.shift[rows] + self.item[words]]
 
 
 @dataclass
 class Cells:
-    """Pairs of sentences with what they explain of each other."""
+    """Pairs of sentences with what they explain of each other; ``target`` and ``source`` have a value for each word of each sentence."""
 
     s: np.ndarray
     t: np.ndarray
     gain: np.ndarray
-    to_target: Explained
-    to_source: Explained
-
-
-def compare_slice(s: Side, t: Side, table: Table | None, sentences: np.ndarray) -> Cells:
-    """All pairs of some source sentences with sentences of their documents that share anything."""
-    own = s.words_of(sentences)
-    docs = np.unique(s.doc[sentences])
-    other = t.words_of(spans(t.first[docs], t.n_sentences[docs]))
-    width = t.n_sentences[s.doc]  # cells of a source sentence
+    target: np.ndarray
+    source: np.ndarray
+
+
+def compare_slice(s: Side, t: Side, lists: tuple[Lists, Lists], lo: int, hi: int, keep, counting: bool) -> Cells:
+    """The pairs of the source sentences from ``lo`` to ``hi`` with sentences of their documents that ``keep`` chooses."""
+    sentences = np.arange(lo, hi)
+    doc = s.doc[lo:hi]
+    others = np.arange(t.first[doc[0]], t.first[doc[-1]] + t.n_sentences[doc[-1]])
+    begin, end = s.start[lo], s.start[hi - 1] + s.length[hi - 1]
+    asked = None
+    if hi - lo < len(s.length):
+        asked = np.zeros(len(s.items.own), dtype=bool)
+        asked[s.item[begin:end]] = True
+    forth, back = Rows(s, sentences, t, lists[0]), Rows(t, others, s, lists[1], asked=asked)
+    np.minimum(1.0, forth.sums, out=forth.sums)
+    np.minimum(1.0, back.sums, out=back.sums)
+    width = t.n_sentences[doc]  # cells of a source sentence
     base = np.cumsum(width) - width
-    cell_of = lambda i, j: base[i] + j - t.first[s.doc[i]]
     total = int(width.sum())
-
-    by, word, p, both = matches(s, own, t, other, table and table.forth)
-    f_cell = cell_of(s.sentence[by], t.sentence[word])
-    from_word, from_by, q, q_both = matches(t, other, s, own, table and table.back)
-    b_cell = cell_of(s.sentence[from_by], t.sentence[from_word])
-    slots, values = compact(np.concatenate([f_cell, b_cell]), total)
-    f_cell, b_cell = slots[: len(f_cell)], slots[len(f_cell) :]
-    i = np.searchsorted(base + width, values, "right")
-    j = values - base[i] + t.first[s.doc[i]]
-
-    def explained(cell: np.ndarray, by: np.ndarray, word: np.ndarray, inside: np.ndarray, sizes: np.ndarray, p: np.ndarray, both: np.ndarray) -> Explained:
-        start = np.cumsum(sizes) - sizes
-        groups, at = compact(start[cell] + inside, int(sizes.sum()))
-        group_cell = np.searchsorted(start + sizes, at, "right")
-        group_word = np.zeros(len(at), dtype=np.int64)
-        group_word[groups] = word
-        return Explained(by, word, groups, p, both, group_cell, group_word)
-
-    to_target = explained(f_cell, by, word, word - t.start[t.sentence[word]], t.length[j], p, both)
-    to_source = explained(b_cell, from_word, from_by, from_by - s.start[s.sentence[from_by]], s.length[i], q, q_both)
-    forth = np.bincount(to_target.group_cell, to_target.sums(), minlength=len(values)) / np.maximum(1, t.length[j])
-    back = np.bincount(to_source.group_cell, to_source.sums(), minlength=len(values)) / np.maximum(1, s.length[i])
-    return Cells(i, j, np.sqrt(forth * back), to_target, to_source)
-
-
-def compare(s: Side, t: Side, table: Table | None, keep) -> Cells:
-    """The pairs of sentences that ``keep`` (of one slice's pairs) chooses."""
-    words = np.cumsum(s.length.astype(np.int64) * np.maximum(1, np.bincount(t.where, minlength=len(t.n_sentences)))[s.doc])
-    parts = []
-    for number in np.unique(words // SLICE_CELLS):
-        cells = compare_slice(s, t, table, np.flatnonzero(words // SLICE_CELLS == number))
-        kept = np.flatnonzero(keep(cells))
-        n = len(cells.s)
-        parts.append(Cells(cells.s[kept], cells.t[kept], cells.gain[kept], cells.to_target.only(kept, n), cells.to_source.only(kept, n)))
-    if len(parts) == 1:
-        return parts[0]
-    sizes = [len(x.s) for x in parts]
-    cat = lambda name: np.concatenate([getattr(x, name) for x in parts])
-    return Cells(cat("s"), cat("t"), cat("gain"), join_explained([x.to_target for x in parts], sizes), join_explained([x.to_source for x in parts], sizes))
+    # every source sentence with every target word of its document, and the other way round
+    n = t.n_words[doc]
+    words = spans(t.first_word[doc], n)
+    to_target = np.bincount(np.repeat(base - t.first[doc], n) + t.sentence[words], forth.sums[np.repeat(forth.shift, n) + t.item[words]], minlength=total)
+    n_own = np.bincount(s.where[begin:end], minlength=len(s.n_sentences))
+    other_doc = t.doc[others]
+    n = n_own[other_doc]
+    words = spans((begin + np.cumsum(n_own) - n_own)[other_doc], n)
+    cell = base[s.sentence[words] - lo] + np.repeat(others - t.first[other_doc], n)
+    to_source = np.bincount(cell, back.sums[np.repeat(back.shift, n) + back.item[words]], minlength=total)
+    some = np.flatnonzero((to_target > 0) & (to_source > 0))
+    i, j = np.repeat(sentences, width)[some], spans(t.first[doc], width)[some]
+    found = Cells(i, j, np.sqrt(to_target[some] / np.maximum(1, t.length[j]) * (to_source[some] / np.maximum(1, s.length[i]))), np.empty(0), np.empty(0))
+    kept = np.flatnonzero(keep(found))
+    i, j = i[kept], j[kept]
+    if counting:
+        forth.sum(lists[0].both)
+    target = forth.at(np.repeat(i - lo, t.length[j]), t.words_of(j))
+    source = np.empty(0) if counting else back.at(np.repeat(j - others[0], s.length[i]), s.words_of(i))
+    return Cells(i, j, found.gain[kept], target, source)
+
+
+def compare(s: Side, t: Side, lists: tuple[Lists, Lists], keep, counting: bool = False) -> Cells:
+    """The pairs of sentences that ``keep`` (of one slice's pairs) chooses.
+
+    Their words have what the other sentence explains of them, or (``counting``) its probabilities for the next counts.
+    """
+    words = np.cumsum(s.length.astype(np.int64) * np.maximum(1, t.n_words)[s.doc])
+    ends = np.append(np.flatnonzero(np.diff(words // SLICE_CELLS)) + 1, len(words))
+    parts = [compare_slice(s, t, lists, lo, hi, keep, counting) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    return parts[0] if len(parts) == 1 else Cells(*(np.concatenate([getattr(x, f.name) for x in parts]) for f in fields(Cells)))
 
 
 def place(s: Side, t: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -374,76 +510,54 @@ def expected_counts(s: Side, t: Side, table: Table | None) -> tuple[np.ndarray,
         w = weight(cells)
         return (w > 0) & (w >= 0.5 * greatest(w, cells.s, len(s.length))[cells.s])
 
-    cells = compare(s, t, table, keep)
+    cells = compare(s, t, item_lists(s, t, table), keep, counting=True)
     w = weight(cells)
     best = np.flatnonzero(w >= 0.5 * greatest(w, cells.t, len(t.length))[cells.t])
     w, i, j = w[best], cells.s[best], cells.t[best]
 
-    # words with a number, by sentence
-    s_words, t_words = s.known, t.known
-    s_count, t_count = np.bincount(s.sentence[s_words], minlength=len(s.length)), np.bincount(t.sentence[t_words], minlength=len(t.length))
-    s_first, t_first = np.cumsum(s_count) - s_count, np.cumsum(t_count) - t_count
-    s_rank, t_rank = np.zeros(len(s.number), dtype=np.int64), np.zeros(len(t.number), dtype=np.int64)
-    s_rank[s_words], t_rank[t_words] = np.arange(len(s_words)) - s_first[s.sentence[s_words]], np.arange(len(t_words)) - t_first[t.sentence[t_words]]
+    # source words with a number, by sentence
+    s_words = s.known
+    s_count = np.bincount(s.sentence[s_words], minlength=len(s.length))
+    s_first = np.cumsum(s_count) - s_count
 
-    # a column is a pair of sentences and a target word; its entries are the source words
-    column_pair = np.repeat(np.arange(len(i)), t_count[j])
-    column_word = t_words[spans(t_first[j], t_count[j])]
-    height = s_count[i][column_pair]
-    first_column = np.cumsum(t_count[j]) - t_count[j]
+    # a column is a pair of sentences and a target word with a number; its entries are the source words
     number = np.full(len(cells.s), -1)
     number[best] = np.arange(len(best))
-    to_target, to_source = cells.to_target, cells.to_source
-    known_pair = number[np.concatenate([to_target.group_cell[to_target.group], to_source.group_cell[to_source.group]])]
-    known_s, known_t = np.concatenate([to_target.by, to_source.word]), np.concatenate([to_target.word, to_source.by])
-    known_p = np.where(known_pair >= 0, np.concatenate([to_target.both, to_source.both]), 0)
-    some = np.flatnonzero(known_p > 0)
-    known_column, known_row, known_p = first_column[known_pair[some]] + t_rank[known_t[some]], s_rank[known_s[some]], known_p[some]
-
-
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(columns, their heights, probabilities) of a bounded number of entries."""
-        end = np.cumsum(height)
-        number = end // 4_000_000
-        for k in np.unique(number):
-            columns = np.flatnonzero(number == k)
-            h = height[columns]
-            prob = np.full(int(h.sum()), BACKGROUND if table else 1.0)
-            inside = (known_column >= columns[0]) & (known_column <= columns[-1])
-            start = np.cumsum(h) - h
-            prob[start[known_column[inside] - columns[0]] + known_row[inside]] = BACKGROUND + known_p[inside]
-            yield columns, h, prob
-
-    whole = list(parts()) if height.sum() <= 16_000_000 else None
-    total = np.zeros(len(t.number))
-    for columns, h, prob in whole or parts():
-        some = h > 0
-        if some.any():
-            start = (np.cumsum(h) - h)[some]
-            of = columns[some]
-            total += np.bincount(column_word[of], np.add.reduceat(prob, start) * w[column_pair[of]], minlength=len(total))
+    column_pair, column_word = np.repeat(number, t.length[cells.t]), t.words_of(cells.t)
+    some = np.flatnonzero((column_pair >= 0) & (t.number[column_word] > 0))
+    column_pair, column_word = column_pair[some], column_word[some]
+    height = s_count[i][column_pair]
+    weights = BACKGROUND * height + cells.target[some] if table else height
+    total = np.bincount(column_word, weights * w[column_pair], minlength=len(t.number))
     mass = np.minimum(1.0, greatest(w, j, len(t.length)))[t.sentence]
     # of each column: the weight of its pair, and what makes the shares of its word add up to its mass
     scale = w[column_pair] * (mass / np.where(total > 0, total, 1.0))[column_word]
-    local, width = s.local[s_words] * len(t.vocabulary), len(t.vocabulary)
-    column_local = t.local[column_word]
+    width = len(t.vocabulary)
+    local, column_local = s.local[s_words] * width, t.local[column_word]
     codes, counts = [], []
-    for columns, h, prob in whole or parts():
-        rows = spans(s_first[i][column_pair[columns]], h)
-        slots, values = compact(local[rows] + np.repeat(column_local[columns], h), len(s.vocabulary) * width)
-        codes.append(s.vocabulary[values // width] * BUCKETS + t.vocabulary[values % width])
-        counts.append(np.bincount(slots, prob * np.repeat(scale[columns], h), minlength=len(values)))
+    # a bounded number of entries at a time; a pair of words has the same probability in all of them
+    part = np.cumsum(height) // 4_000_000
+    for k in np.unique(part):
+        columns = np.flatnonzero(part == k)
+        h = height[columns]
+        at = local[spans(s_first[i][column_pair[columns]], h)] + np.repeat(column_local[columns], h)
+        values, sums = totals(at, np.repeat(scale[columns], h), len(s.vocabulary) * width)
+        code = s.vocabulary[values // width] * BUCKETS + t.vocabulary[values % width]
+        if table:
+            prob = np.full(len(code), BACKGROUND)
+            place_of = np.searchsorted(code, table.code)
+            hit = np.flatnonzero(np.append(code, -1)[place_of] == table.code)
+            prob[place_of[hit]] += table.both[hit]
+            sums = sums * prob
+        codes.append(code)
+        counts.append(sums)
     return (np.concatenate(codes), np.concatenate(counts)) if codes else (np.empty(0, dtype=np.int64), np.empty(0))
 
 
 def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Side, Side]]:
     """(rows, source side, target side) of some documents at a time; documents without words on a side are left out."""
 
-    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = batch.column(name)
-        return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-
-    (s, so), (sn, sno), (t, to), (tn, tno) = map(flat, READ[1:])
+    (s, so), (sn, sno), (t, to), (tn, tno) = (unpacked(batch.column(name), kind) for name, kind in zip(READ[1:], (np.int64, np.int32) * 2))
     distinct = batch.column("_n").to_numpy().astype(np.int64)
     some = np.flatnonzero((np.diff(so) > 0) & (np.diff(to) > 0))
     block = np.cumsum(np.diff(so)[some] + np.diff(to)[some]) // BLOCK_WORDS
@@ -454,8 +568,12 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Side, Side]]:
 
 
 def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    values, slots = np.unique(np.concatenate(codes), return_inverse=True)
-    return values, np.bincount(slots, np.concatenate(counts))
+    code = np.concatenate(codes)
+    s = code // BUCKETS
+    (at_s, s), (at_t, t) = compact(s, BUCKETS), compact(code - s * BUCKETS, BUCKETS)
+    values, sums = totals(at_s * len(t) + at_t, np.concatenate(counts), len(s) * len(t))
+    at_s = values // max(1, len(t))
+    return s[at_s] * BUCKETS + t[values - at_s * len(t)], sums
 
 
 def count_partition(table: Table | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,7 +608,9 @@ def estimate_table(pairs: DataFrame, rounds: int = 3) -> Table:
     words = pairs.select(*READ)
     for _ in range(max(1, rounds)):
         shared = pairs.sparkSession.sparkContext.broadcast(table)
-        cells = words.mapInArrow(lambda it, shared=shared: count_partition(shared.value, it), "s int, t int, n double").groupBy("s", "t").agg(F.sum("n").alias("n"))
+        cells = words.mapInArrow(lambda it, shared=shared: count_partition(shared.value, it), "s int, t int, n double")
+        # a task gives a cell once, so cells are added up only after they are shuffled, and by the word that is asked for next
+        cells = cells.repartition("s").groupBy("s", "t").agg(F.sum("n").alias("n"))
         # seldom seen words give no certainty
         cells = cells.select("s", "t", (F.col("n") / (F.sum("n").over(W.partitionBy("s")) + 1)).alias("forth"), (F.col("n") / (F.sum("n").over(W.partitionBy("t")) + 1)).alias("back"))
         found = cells.where((F.col("forth") >= LEAST) | (F.col("back") >= LEAST)).toPandas()
@@ -501,15 +621,29 @@ def estimate_table(pairs: DataFrame, rounds: int = 3) -> Table:
 
 def link(s: Side, t: Side, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Competitive linking: (source sentence, target sentence, gain), numbered over all documents of the block."""
+    lists = item_lists(s, t, table)
     # what is left of a sentence counts as a third of it at least, so a gain below a third of the least is never enough
-    cells = compare(s, t, table, lambda c: c.gain >= min(ACCEPT, AGAIN) / 3)
-    i, j, gain, forth, back = cells.s, cells.t, cells.gain.copy(), cells.to_target, cells.to_source
+    cells = compare(s, t, lists, lambda c: c.gain >= min(ACCEPT, AGAIN) / 3)
+    i, j, gain = cells.s, cells.t, cells.gain.copy()
     near = 1.0 - 0.05 * place(s, t, i, j)  # only to choose among equals
     free_s, free_t = np.ones(len(s.number)), np.ones(len(t.number))
     linked_s, linked_t = np.zeros(len(s.length), dtype=bool), np.zeros(len(t.length), dtype=bool)
     taken = np.zeros(len(i), dtype=bool)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    unlinked = [(forth, free_t, 1.0 - forth.sums()), (back, free_s, 1.0 - back.sums())]
+    first_value = [np.cumsum(n) - n for n in (s.length[i], t.length[j])]
+
+    def left(k: np.ndarray) -> np.ndarray:
+        """The gain of some cells in words that no accepted link explains, of at least a third of either sentence."""
+        sums = []
+        for a, of_a, free_a, b, of_b, free_b, by in ((s, i[k], free_s, t, j[k], free_t, lists[0]), (t, j[k], free_t, s, i[k], free_s, lists[1])):
+            row, sentences = compact(of_a, len(a.length))
+            words, n = b.words_of(of_b), b.length[of_b]
+            free = free_b[words]
+            explains = np.minimum(1.0, Rows(a, sentences, b, by, free_a).at(np.repeat(row, n), words)) * free
+            cell = np.repeat(np.arange(len(k)), n)
+            sums.append(np.bincount(cell, explains, minlength=len(k)) / np.maximum(np.bincount(cell, free, minlength=len(k)), n / 3))
+        return np.sqrt(sums[0] * sums[1])
+
     while True:
         some = linked_s[i] | linked_t[j]
         able = ~taken & (gain >= np.where(some, AGAIN, ACCEPT)) & ~(linked_s[i] & linked_t[j])
@@ -521,19 +655,20 @@ def link(s: Side, t: Side, table: Table) -> tuple[np.ndarray, np.ndarray, np.nda
         first_s, first_t = np.zeros(len(s.length), dtype=np.int64), np.zeros(len(t.length), dtype=np.int64)
         np.maximum.at(first_s, i, rank)
         np.maximum.at(first_t, j, rank)
-        now = able & (first_s[i] == rank) & (first_t[j] == rank)
+        now = np.flatnonzero(able & (first_s[i] == rank) & (first_t[j] == rank))
         out.append((i[now], j[now], gain[now]))
-        taken |= now
+        taken[now] = True
         linked_s[i[now]] = linked_t[j[now]] = True
-        for side, free, rest in unlinked:
-            hit = now[side.group_cell]
-            free[side.group_word[hit]] *= rest[hit]
-        # the gain in words that no accepted link explains, of at least a third of either sentence
-        left = lambda side, by, free: np.bincount(side.group_cell, side.sums(by) * free[side.group_word], minlength=len(i))
-        left_s, left_t = np.bincount(s.sentence, free_s, minlength=len(s.length)), np.bincount(t.sentence, free_t, minlength=len(t.length))
-        again = np.sqrt(left(forth, free_s, free_t) / np.maximum(left_t, t.length / 3)[j] * left(back, free_t, free_s) / np.maximum(left_s, s.length / 3)[i])
-        one = linked_s[i] ^ linked_t[j]
-        gain[one] = again[one]
+        changed_s, changed_t = np.zeros(len(s.length), dtype=bool), np.zeros(len(t.length), dtype=bool)
+        changed_s[i[now]] = changed_t[j[now]] = True
+        for side, of, free, first, explains in ((s, i[now], free_s, first_value[0], cells.source), (t, j[now], free_t, first_value[1], cells.target)):
+            free[side.words_of(of)] *= 1.0 - explains[spans(first[now], side.length[of])]
+        # only where the words of a sentence changed; a bounded size of rows at a time
+        again = np.flatnonzero((linked_s[i] ^ linked_t[j]) & (changed_s[i] | changed_t[j]))
+        part = np.cumsum((s.n_items + t.n_items)[s.doc[i[again]]]) // 4_000_000
+        for number in np.unique(part):
+            k = again[part == number]
+            gain[k] = left(k)
     if not out:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -553,6 +688,6 @@ def align_sentences(df: DataFrame, keys: list[str], source: str, target: str, ro
     """(keys, source_no, target_no, score) of the sentences of ``source`` and ``target`` that translate each other."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     texts = df.select(*keys, F.col(source).alias("_source"), F.col(target).alias("_target")).where("_source <> '' and _target <> ''")
-    pairs = keep(texts.mapInArrow(read_pairs, f"{kinds}, _n int, _s array<long>, _sn array<int>, _t array<long>, _tn array<int>"))
+    pairs = keep(texts.mapInArrow(read_pairs, f"{kinds}, _n int, _s binary, _sn binary, _t binary, _tn binary"))
     shared = df.sparkSession.sparkContext.broadcast(estimate_table(pairs, rounds))
     return pairs.mapInArrow(lambda it: link_partition(shared.value, keys, it), f"{kinds}, source_no int, target_no int, score double")

@@ -318,6 +318,47 @@ def test_table_entries_are_looked_up_once_a_word(monkeypatch):
     assert max(made) <= 600, "entries that no text holds were repeated for every word"
 
 
+def test_equal_words_are_compared_once(monkeypatch):
+    # 200 equal words on either side: one pair of items, not 40,000 pairs of words
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": [1], "_source": [" ".join(["filter"] * 200) + "."], "_target": [" ".join(["필터"] * 200) + "."]})
+    (_, s, t), = A.blocks(next(A.read_pairs(iter([batch]))))
+    table = A.Table.of(s.number[:1], t.number[:1], np.array([0.9]), np.array([0.4]))
+    made = []
+    spans = A.spans
+    monkeypatch.setattr(A, "spans", lambda starts, counts: made.append(int(counts.sum())) or spans(starts, counts))
+    i, j, gain = A.link(s, t, table)
+    assert i.tolist() == [0] == j.tolist() and gain.tolist() == [1.0]
+    assert max(made) <= 200, "every word was compared with every equal word"
+
+
+def test_texts_are_read_as_pieces():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    signs = ["a", "B", "가", "나다", "3", "1,000", ".", "!", "?", "...", "\n", " ", " ", "\t", "\u3000", "\x85", "-", "x.y", "。"]
+    texts = [None, "", *["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(2000)]]
+    for source in (True, False):
+        numbers = A.Numbers(source)
+        words, lengths, n_words, n_sentences = A.read_texts(pa.array(texts), numbers)
+        want = [[[n for token in piece.split() for n in numbers[token]] for piece in A.pieces(text or "")] for text in texts]
+        assert words.tolist() == [n for text in want for piece in text for n in piece]
+        assert lengths.tolist() == [len(piece) for text in want for piece in text]
+        assert n_words.tolist() == [sum(map(len, text)) for text in want] and n_sentences.tolist() == list(map(len, want))
+
+
+def test_packed_rows():
+    for sizes in ([], [0], [2, 0, 3], [0, 0]):
+        sizes = np.array(sizes, dtype=np.int64)
+        for kind in (np.int64, np.int32):
+            flat = np.arange(sizes.sum(), dtype=kind)
+            got, offsets = A.unpacked(A.packed(flat, sizes), kind)
+            assert got.tolist() == flat.tolist() and got.dtype == kind and np.diff(offsets).tolist() == sizes.tolist()
+    cut = A.packed(np.arange(5), np.array([2, 0, 3])).slice(1)
+    assert [x.tolist() for x in A.unpacked(cut, np.int64)] == [[2, 3, 4], [0, 0, 3]]
+
+
 def test_words_are_told_apart():
     source, target = A.Numbers(True), A.Numbers(False)
     number = lambda n, w: n[w][0] & 0xFFFFFFFF
