@@ -140,7 +140,7 @@ def read_texts(texts: pa.Array, numbers: Numbers) -> tuple[np.ndarray, np.ndarra
         sizes.append(len(found) - before)
     n_words = np.fromiter(map(len, tokens.words), np.int64, len(tokens.words))
     flat = np.fromiter(chain.from_iterable(tokens.words), np.int64, int(n_words.sum()))
-    token = np.array(found, dtype=np.int64)
+    token = np.fromiter(found, np.int64, len(found))
     text_of = np.repeat(np.arange(len(sizes)), sizes)
     closes = np.array(tokens.closes, dtype=np.int8)[token]
     ends = np.flatnonzero(closes)
@@ -455,13 +455,16 @@ def compare_slice(s: Side, t: Side, lists: tuple[Lists, Lists], lo: int, hi: int
     base = np.cumsum(width) - width
     total = int(width.sum())
     # every source sentence with every target word of its document, and the other way round
-    n = t.n_words[doc]
-    words = spans(t.first_word[doc], n)
+    asked_of = np.flatnonzero(lists[1].counts[t.item] > 0)  # words that nothing explains add nothing
+    n_own = np.bincount(t.where[asked_of], minlength=len(t.n_sentences))
+    n = n_own[doc]
+    words = asked_of[spans((np.cumsum(n_own) - n_own)[doc], n)]
     to_target = np.bincount(np.repeat(base - t.first[doc], n) + t.sentence[words], forth.sums[np.repeat(forth.shift, n) + t.item[words]], minlength=total)
-    n_own = np.bincount(s.where[begin:end], minlength=len(s.n_sentences))
+    asked_of = begin + np.flatnonzero(lists[0].counts[s.item[begin:end]] > 0)
+    n_own = np.bincount(s.where[asked_of], minlength=len(s.n_sentences))
     other_doc = t.doc[others]
     n = n_own[other_doc]
-    words = spans((begin + np.cumsum(n_own) - n_own)[other_doc], n)
+    words = asked_of[spans((np.cumsum(n_own) - n_own)[other_doc], n)]
     cell = base[s.sentence[words] - lo] + np.repeat(others - t.first[other_doc], n)
     to_source = np.bincount(cell, back.sums[np.repeat(back.shift, n) + back.item[words]], minlength=total)
     some = np.flatnonzero((to_target > 0) & (to_source > 0))
@@ -649,13 +652,14 @@ def link(s: Side, t: Side, table: Table) -> tuple[np.ndarray, np.ndarray, np.nda
         able = ~taken & (gain >= np.where(some, AGAIN, ACCEPT)) & ~(linked_s[i] & linked_t[j])
         if not able.any():
             break
-        rank = np.empty(len(i), dtype=np.int64)
-        rank[np.lexsort((j, i, -np.round(np.where(able, gain * near, 0.0), 9)))] = np.arange(len(i), 0, -1)
-        rank[~able] = 0
+        able = np.flatnonzero(able)
+        of_s, of_t = i[able], j[able]
+        rank = np.empty(len(able), dtype=np.int64)
+        rank[np.lexsort((of_t, of_s, -np.round(gain[able] * near[able], 9)))] = np.arange(len(able), 0, -1)
         first_s, first_t = np.zeros(len(s.length), dtype=np.int64), np.zeros(len(t.length), dtype=np.int64)
-        np.maximum.at(first_s, i, rank)
-        np.maximum.at(first_t, j, rank)
-        now = np.flatnonzero(able & (first_s[i] == rank) & (first_t[j] == rank))
+        np.maximum.at(first_s, of_s, rank)
+        np.maximum.at(first_t, of_t, rank)
+        now = able[(first_s[of_s] == rank) & (first_t[of_t] == rank)]
         out.append((i[now], j[now], gain[now]))
         taken[now] = True
         linked_s[i[now]] = linked_t[j[now]] = True
